@@ -119,19 +119,21 @@ def _fence_cells(text: str) -> list[tuple[str, str]]:
     return cells
 
 
-def layout_of(text: str) -> str:
-    """'ipynb', 'percent', 'script', 'fence' or 'plain', told from the marks in the text."""
-    if raw_notebook(text) is not None:
-        return "ipynb"
-    if _PERCENT.search(text):
+def _marked_layout(text: str) -> str:
+    if "# %%" in text and _PERCENT.search(text):
         return "percent"
-    if _SCRIPT.search(text):
+    if ("# In" in text or "# Out" in text) and _SCRIPT.search(text):
         return "script"
-    if _FENCE.search(text):
+    if "```" in text and _FENCE.search(text):
         return "fence"
     return "plain"
 
 
+def layout_of(text: str) -> str:
+    """'ipynb', 'percent', 'script', 'fence' or 'plain', told from the marks in the text."""
+    return "ipynb" if raw_notebook(text) is not None else _marked_layout(text)
+
+
 def read_cells(text: str) -> tuple[str, list[tuple[str, str]]]:
     """(layout, [(kind, text), ...]) of a notebook.
 
@@ -140,12 +142,9 @@ def read_cells(text: str) -> tuple[str, list[tuple[str, str]]]:
     """
     if (book := raw_notebook(text)) is not None:
         return "ipynb", _json_cells(book)
-    if _PERCENT.search(text):
-        return "percent", _percent_cells(text)
-    if _SCRIPT.search(text):
-        return "script", _script_cells(text)
-    if _FENCE.search(text):
-        return "fence", _fence_cells(text)
+    layout = _marked_layout(text)
+    if layout != "plain":
+        return layout, {"percent": _percent_cells, "script": _script_cells, "fence": _fence_cells}[layout](text)
     cells, kind, at = [], MARKDOWN, 0
     for mark in [*_PLAIN.finditer(text), None]:
         body = text[at : mark.start() if mark else len(text)].strip("\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slotweave.llm import containment, packing
+from slotweave.llm import containment, packing, residue
 from slotweave.queries import table
 
 
@@ -18,5 +18,9 @@ def p7_found(spark, folder):
     return containment.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_assignment, p7_found)}
+def p8_found(spark, folder):
+    return residue.leftover_documents(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_assignment, p7_found, p8_found)}
 SQL = {"p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 16384"}

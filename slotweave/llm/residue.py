@@ -1,0 +1,342 @@
+"""Template residue, filler, error pages and script notices that stand in place of content.
+
+Labelled exemplars of such leftovers are held in an inverted index.  Every cell that is no code is cut into
+passages; windows of passages retrieve the exemplars with which they share terms, and TF-IDF containment, with
+document frequencies counted over the whole corpus, says how much of the window lies in the exemplar and how much
+of the exemplar in the window.  A cell is a leftover if windows that match cover nearly all of its weight, so prose
+or output that only mentions such text isn't one.
+
+One pass over the texts counts document frequencies and keeps the few cells with mostly exemplar terms; only these
+are scored.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache, lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slotweave.llm.cells import CODE, MARKDOWN, read_cells
+from slotweave.workspace import materialize
+
+# Labelled exemplars.  Numbers don't count; § stands for any unfilled placeholder.
+# Fixed values:
+MESSAGES = [
+    "404 Not Found",
+    "Error 404 - page not found. Go back to the start page.",
+    "404 The page you asked for does not exist.",
+    "Page not found",
+    "Seite nicht gefunden (Fehler 404)",
+    "Page introuvable. Erreur 404.",
+    "Página no encontrada",
+    "Página no encontrada. Error 404.",
+    "403 Forbidden",
+    "403 Forbidden: you have no permission to open this file.",
+    "Access denied",
+    "Access denied. Reference 1.",
+    "401 Unauthorized",
+    "400 Bad Request",
+    "429 Too many requests - slow down and wait 30 seconds.",
+    "429 Too Many Requests",
+    "500 Internal Server Error",
+    "500 Internal Server Error Request id 1",
+    "502 Bad Gateway",
+    "502 Bad Gateway edge-1",
+    "503 Service Unavailable",
+    "503 Service Unavailable. The server is busy, retry later.",
+    "504 Gateway Time-out",
+    "504 Gateway Timeout",
+    "<html><head><title>504 Gateway Time-out</title></head><body><center><h1>504 Gateway Time-out</h1></center></body></html>",
+    "<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center><hr><center>nginx</center></body></html>",
+    "<html><head><title>404 Not Found</title></head><body><center><h1>404 Not Found</h1></center></body></html>",
+    "<html><head><title>503 Service Unavailable</title></head><body><center><h1>503 Service Unavailable</h1></center></body></html>",
+    "<html><head><title>500 Internal Server Error</title></head><body><center><h1>500 Internal Server Error</h1></center></body></html>",
+    "<html><head><title>403 Forbidden</title></head><body><center><h1>403 Forbidden</h1></center></body></html>",
+    "The upstream server timed out (gateway 1).",
+    "This site can't be reached: the connection timed out.",
+    '{"error": "not_found", "status": 404, "trace": 1}',
+    "Sorry, something went wrong. Reload the page.",
+    "Oops! We could not render this notebook.",
+    "The notebook failed to load. Try again?",
+    "This file is no longer available or was moved.",
+    "Your session has expired. Sign in again to continue.",
+    "Please enable JavaScript to view this notebook.",
+    "Please enable JavaScript to continue.",
+    "Enable JavaScript and cookies to continue",
+    "JavaScript is disabled in your browser. Turn it on and reload.",
+    "JavaScript is required to view this page.",
+    "You need to enable JavaScript to run this app.",
+    "You need to enable scripts to run this app.",
+    "This viewer needs scripts to be switched on.",
+    "Your browser does not run scripts, so the widget cannot be shown.",
+    "Interactive output hidden: scripts are blocked for untrusted notebooks.",
+    "<noscript>We're sorry, but the viewer doesn't work without JavaScript enabled.</noscript>",
+    "Checking your browser... this needs JS. Ray 1",
+    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.",
+    "Veuillez activer JavaScript pour afficher cette page.",
+    "Active JavaScript para ver este contenido.",
+    "Heading Some placeholder copy. Some placeholder copy. Some placeholder copy.",
+    "Some placeholder copy. Some placeholder copy.",
+    "Texte de remplissage, texte de remplissage.",
+    "Hier steht Blindtext. Hier steht Blindtext.",
+    "Texto de relleno, texto de relleno.",
+    "Edit this cell to add content.",
+    "Sample paragraph. Replace this paragraph with your own words.",
+    "Your text goes here.",
+    "Add your text here.",
+    "Text text text text text.",
+    "blah blah blah",
+    "asdf asdf asdf asdf",
+    "xxxxx xxxxx xxx",
+]
+TEMPLATES = [
+    "§",
+    "Project § by §.",
+    "* Data: § * Method: § * Result: §",
+    "Description: § Goal: §",
+    "# § Author: § Date: §",
+    "Author: § Date: §",
+    "Dear §,",
+    "Title: §",
+]
+FILLER = [  # pseudo-Latin; a window of only such words is filler, whatever their order
+    "lorem ipsum dolor amet verat posulus nolis velor simul sodale faucis vivam altera agenda elito ferat morbus tincid prasen nibum tarim cortus quidem",
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam"
+    " quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu"
+    " fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum",
+]
+# Ways to write a placeholder.  Fixed values:
+PLACEHOLDERS = [
+    r"\{\{\s*[\w.\-]+(?: [\w.\-]+)*\s*\}\}",
+    r"\{%\s*[\w.\-]+(?: [\w.\-]+)*\s*%\}",
+    r"<%=?\s*[\w.\-]+(?: [\w.\-]+)*\s*%>",
+    r"#\{\s*[\w.\-]+\s*\}",
+    r"\$\{\s*[\w.\-]+\s*\}",
+    r"%%[\w\-]+%%",
+    r"@@[\w\-]+@@",
+    r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)",
+    r"\[\[\s*[\w.\-]+(?: [\w.\-]+)*\s*\]\]",
+    r"<<\s*[\w.\-]+(?: [\w.\-]+)*\s*>>",
+    r"«\s*[\w.\-]+(?: [\w.\-]+)*\s*»",
+    r"\[(?:insert|enter|your|add) [\w\- ]+\]",
+    r"\[votre [\w\- ]+ ici\]",
+    r"\[escriba su [\w\- ]+\]",
+    r"<(?:your|insert|enter) [\w\- ]+>",
+    r"<[\w\-]+ eintragen>",
+    r"\((?:type|insert|enter|add) your [\w\- ]+\)",
+    r"\bTODO: (?:add|write|insert) (?:the |a )?[\w\-]+",
+    r"\bFIXME (?:add|write|insert) (?:the |a )?[\w\-]+",
+    r"\bTBD \([\w\- ]+\)",
+]
+
+COVERAGE = 0.95  # of a cell's weight, in windows that match
+CONTAINED = 0.9  # of a window's weight in the exemplar, and of a message's weight in the window
+# A term of no exemplar weighs most, so a window's share of exemplar terms bounds its containment from above: a cell
+# with a smaller share than these can't match and isn't scored.
+_KEEP, _KEEP_PART = COVERAGE * CONTAINED, CONTAINED
+_WINDOW = 5  # passages
+_FILLER_TERMS = 4
+
+_SLOT = re.compile("|".join(PLACEHOLDERS), re.I)
+_SLOT_SIGNS = ("{{", "{%", "#{", "${", "<%", "%%", "@@", "__", "[[", "<<", "\u00ab", "[insert", "[enter", "[your", "[add", "[votre", "[escriba", "<your", "<insert", "<enter", "eintragen>", "(type your", "(insert your", "(enter your", "(add your", "todo: ", "fixme ", "tbd (")
+_BLANK = re.compile(r"\n[ \t]*\n")
+_TERM = re.compile(r"§|[^\W\d_]+")
+
+
+_LETTERS_ONLY = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+
+def _words(lowered: str) -> list[str]:
+    return lowered.translate(_LETTERS_ONLY).split() if lowered.isascii() else _TERM.findall(lowered)
+
+
+def slot_signs(lowered: str) -> list[str]:
+    """The signs in a text that a placeholder may begin or end with; without one it holds none."""
+    return [sign for sign in _SLOT_SIGNS if sign in lowered]
+
+
+def terms(text: str, signs: list[str] | None = None) -> list[str]:
+    """Words in lower case, without numbers; an unfilled placeholder is one term, '§'."""
+    text = text.lower()
+    if not text.isascii():
+        text = text.replace("§", " ")
+    if any(sign in text for sign in (_SLOT_SIGNS if signs is None else signs)):
+        text = _SLOT.sub(" § ", text)
+    return _words(text)
+
+
+@dataclass(frozen=True)
+class Exemplar:
+    text: str
+    label: str  # 'message', 'template' or 'filler'
+    terms: Counter
+
+
+class ExemplarIndex:
+    """An inverted index of the exemplars; with document frequencies it scores windows of passages."""
+
+    def __init__(self):
+        labelled = [(t, "message") for t in MESSAGES] + [(t, "template") for t in TEMPLATES] + [(t, "filler") for t in FILLER]
+        self.exemplars = [Exemplar(text, label, Counter(_TERM.findall(text.lower()))) for text, label in labelled]
+        self.postings = defaultdict(list)
+        for i, e in enumerate(self.exemplars):
+            for term in e.terms:
+                self.postings[term].append(i)
+        self.vocabulary = frozenset(self.postings)
+        self.longest = max(len(e.text) for e in self.exemplars)
+
+    def weigh(self, documents: int, frequency: dict[str, int]) -> None:
+        """Set the inverse document frequencies; a term of no exemplar weighs as much as the rarest."""
+        self.idf = {t: math.log(1 + (documents + 1) / (1 + frequency.get(t, 0))) for t in self.vocabulary}
+        self.unknown = math.log(2 + documents)
+        self.weight = [sum(n * self.idf[t] for t, n in e.terms.items()) for e in self.exemplars]
+
+    def weight_of(self, own: Counter) -> float:
+        return sum(n * self.idf.get(t, self.unknown) for t, n in own.items())
+
+    def matches(self, own: Counter) -> bool:
+        """Whether a window of passages is a whole leftover."""
+        total = self.weight_of(own)
+        if not total:
+            return False
+        inside, covered = defaultdict(float), defaultdict(float)
+        for term, n in own.items():
+            if term in self.idf:
+                for i in self.postings[term]:
+                    inside[i] += n * self.idf[term]
+                    covered[i] += min(n, self.exemplars[i].terms[term]) * self.idf[term]
+        for i, weight in inside.items():
+            if weight < CONTAINED * total:
+                continue
+            label = self.exemplars[i].label
+            if label == "filler":
+                if own.total() >= _FILLER_TERMS:
+                    return True
+            elif covered[i] >= CONTAINED * self.weight[i] and (label == "message" and weight >= COVERAGE * total or label == "template" and own["§"]):
+                return True
+        return False
+
+
+def passages(body: str, by_line: bool) -> list[list[str]]:
+    """The terms of each passage: of each line, or of each paragraph; passages without terms are left out."""
+    parts = body.split("\n") if by_line else _BLANK.split(body)
+    return [own for part in parts if (own := terms(part))]
+
+
+def leftover_cell(index: ExemplarIndex, body: str, loose: bool) -> bool:
+    """Whether a cell is a leftover: windows of its passages that match cover nearly all its weight.
+
+    ``loose``: the text may hold several cells without marks between them, then one window that matches is enough.
+    """
+    for by_line in (False, True):
+        parts = [Counter(p) for p in passages(body, by_line)]
+        if not parts:
+            return False
+        if not loose and sum(p.total() for p in parts) and index.matches(sum(parts, Counter())):
+            return True
+        covered, at = [False] * len(parts), 0
+        for at in range(len(parts)):
+            window = Counter()
+            for to in range(at, min(at + _WINDOW, len(parts))):
+                window += parts[to]
+                if index.matches(window):
+                    if loose:
+                        return True
+                    covered[at : to + 1] = [True] * (to + 1 - at)
+        weights = [index.weight_of(p) for p in parts]
+        if any(covered) and sum(w for w, c in zip(weights, covered) if c) >= COVERAGE * sum(weights):
+            return True
+    return False
+
+
+@cache
+def _vocabulary() -> frozenset[str]:
+    return ExemplarIndex().vocabulary
+
+
+@lru_cache(1 << 16)
+def _line_may_match(line: str) -> bool:
+    own = terms(line)
+    return bool(own) and sum(map(_vocabulary().__contains__, own)) >= _KEEP_PART * len(own)
+
+
+def candidate_cells(text: str) -> tuple[set[str], list[tuple[bool, str]]]:
+    """(exemplar terms of the document, [(loose, text) of the cells worth scoring]).
+
+    A placeholder in code is code: it counts as a term of the document only if it stands elsewhere.
+    """
+    vocabulary = _vocabulary()
+    layout, cells = read_cells(text)
+    lowered = ("\n".join(body for _, body in cells) if layout == "ipynb" else text).lower()
+    own = set(vocabulary.intersection(_words(lowered)))
+    own.discard("§")
+    signs = slot_signs(lowered)
+    if layout == "percent" and lowered.count("%%") == lowered.count("# %%"):
+        signs = [sign for sign in signs if sign != "%%"]
+    kept = []
+    for kind, body in cells:
+        loose = layout == "plain" or layout == "fence" and kind == MARKDOWN
+        if kind == CODE and layout != "plain":
+            continue
+        if loose:
+            keep = any(map(_line_may_match, body.split("\n")))
+        else:
+            found = terms(body, signs)
+            keep = bool(found) and sum(map(vocabulary.__contains__, found)) >= _KEEP * len(found)
+        if keep:
+            kept.append((loose, body))
+            if "§" in terms(body, signs):
+                own.add("§")
+    return own, kept
+
+
+_FIRST = "term STRING, n BIGINT, doc_id BIGINT, loose BOOLEAN, body STRING"
+_ARROW = pa.schema([("term", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("loose", pa.bool_()), ("body", pa.string())])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a term: its document frequency in a part of the corpus ('' counts the documents); else a cell to score."""
+    frequency: Counter = Counter()
+    for batch in batches:
+        ids, loose, bodies = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if doc_id is None or text is None:
+                continue
+            own, kept = candidate_cells(text)
+            frequency.update(own)
+            frequency[""] += 1
+            for part, body in kept:
+                ids.append(doc_id)
+                loose.append(part)
+                bodies.append(body)
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(loose, pa.bool_()), pa.array(bodies, pa.string())], schema=_ARROW)
+    n = len(frequency)
+    yield pa.RecordBatch.from_arrays([pa.array(list(frequency), pa.string()), pa.array(list(frequency.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())], schema=_ARROW)
+
+
+def leftover_documents(documents: DataFrame) -> DataFrame:
+    """doc_id of the documents with a whole markdown or output cell, or the whole text, that is such a leftover.
+
+    Null and empty texts are none.  Where the layout does not mark a cell's end, a run of lines or paragraphs
+    counts as a cell.  Each doc_id comes once.
+    """
+    scanned = materialize(documents.select("doc_id", "text").mapInArrow(_scan, _FIRST), "residue-cells")
+    counts = {r["term"]: r["n"] for r in scanned.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}  # a row per exemplar term
+
+    def score(batches):
+        index = ExemplarIndex()
+        index.weigh(counts.get("", 0), counts)
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            found = {doc_id for doc_id, loose, body in rows if leftover_cell(index, body, loose)}
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(sorted(found), pa.int64())})
+
+    return scanned.where("term IS NULL").select("doc_id", "loose", "body").mapInArrow(score, "doc_id BIGINT").distinct()
