@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+class Registry:
+    """Queries by name, and the SQL that gives the same rows where there is one."""
+
+    def __init__(self):
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, sql: str | None = None):
+        def register(function):
+            self.queries[function.__name__] = function
+            if sql:
+                self.sql[function.__name__] = sql
+            return function
+
+        return register

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slotweave.operators import change_feed, copy_differences, nested, radix, snapshot_changes
-from slotweave.queries import table
+from slotweave.queries import Registry, table
 
+registry = Registry()
+query = registry.add
 
+
+@query()
 def p1_found(spark, folder):
     return snapshot_changes.topology_changes(table(spark, folder, "topology_snapshots"))
 
 
+@query()
 def p2_found(spark, folder):
     return nested.nested_elements(table(spark, folder, "rebalance_reports"), table(spark, folder, "slot_dumps"), table(spark, folder, "node_probes"))
 
 
+@query()
 def p3_found(spark, folder):
     return radix.slow_days(table(spark, folder, "node_probes"))
 
 
+@query()
 def p4_found(spark, folder):
     return copy_differences.log_differences(table(spark, folder, "wal_leader"), table(spark, folder, "wal_follower"), table(spark, folder, "shard_status"))
 
 
+@query()
 def p5_found(spark, folder):
     return change_feed.live_records(table(spark, folder, "command_log"))
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found)}
-SQL: dict[str, str] = {}
