@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from slotweave.llm import containment, packing, residue
-from slotweave.queries import table
+from slotweave.queries import Registry, table
 
+registry = Registry()
+query = registry.add
 
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) + 1 > 16384")
 def p6_found(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents")).where("pieces > 1").select("doc_id").distinct()
 
 
+@query()
 def p6_assignment(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query()
 def p7_found(spark, folder):
     return containment.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+@query()
 def p8_found(spark, folder):
     return residue.leftover_documents(table(spark, folder, "documents"))
-
-
-QUERIES = {f.__name__: f for f in (p6_found, p6_assignment, p7_found, p8_found)}
-SQL = {"p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 16384"}
