@@ -10,24 +10,32 @@ STEPS = 26
 EARTH = 6372797.560856
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "mi": 1609.34}
 _ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-_MASKS = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
+_LONGITUDE_BITS = 0xAAAAAAAAAAAAA
 
 
 def valid(longitude: Column, latitude: Column) -> Column:
     return longitude.between(*LONGITUDE) & latitude.between(*LATITUDE)
 
 
+def _either(parts: list[Column]) -> Column:
+    while len(parts) > 1:
+        parts = [a[0].bitwiseOR(a[1]) if len(a) == 2 else a[0] for a in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
+
+
 def _spread(x: Column) -> Column:
-    for shift, mask in _MASKS:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """Bit i of a cell at place 2i."""
+    return _either([F.shiftleft(x.bitwiseAND(F.lit(1 << i).cast("bigint")), i) for i in range(STEPS)])
 
 
 def _squash(x: Column) -> Column:
-    x = x.bitwiseAND(F.lit(_MASKS[-1][1]))
-    for (shift, _), (_, mask) in zip(reversed(_MASKS), [*reversed(_MASKS[:-1]), (0, 0x00000000FFFFFFFF)]):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """Bit 2i at place i."""
+    return _either([F.shiftright(x.bitwiseAND(F.lit(1 << 2 * i).cast("bigint")), i) for i in range(STEPS)])
+
+
+def _bound(x: Column, use) -> Column:
+    """``use(x)`` with x evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
 
 
 def _cell(value: Column, limits: tuple[float, float]) -> Column:
@@ -63,8 +71,15 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str =
 
 
 def geohash(bits: Column) -> Column:
-    """The usual base-32 text, 11 characters of which the last is always '0'."""
-    longitude, latitude = decode(bits)
-    standard = encode(longitude, latitude, (-90.0, 90.0))
-    letter = lambda i: F.substring(F.lit(_ALPHABET), F.shiftright(standard, 47 - 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(i) for i in range(10)), F.lit("0"))
+    """The usual base-32 text, 11 characters of which the last is always '0'.
+
+    The text covers latitudes of +-90 degrees, so the latitude is encoded anew; the bits of the longitude stay.
+    """
+    latitude = _cell(decode(bits)[1], (-90.0, 90.0))
+    standard = _bound(latitude, _spread).bitwiseOR(bits.bitwiseAND(F.lit(_LONGITUDE_BITS)))
+
+    def text(s: Column) -> Column:
+        letter = lambda i: F.substring(F.lit(_ALPHABET), F.shiftright(s, 47 - 5 * i).bitwiseAND(F.lit(31).cast("bigint")).cast("int") + 1, F.lit(1))
+        return F.concat(*(letter(i) for i in range(10)), F.lit("0"))
+
+    return _bound(standard, text)

@@ -11,26 +11,110 @@ registry = Registry()
 query = registry.add
 
 
-@query()
+_P1 = """WITH snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, version ORDER BY delivery_id) AS r FROM topology_snapshots
+  WHERE len(slots) = slot_count AND cluster_id IS NOT NULL AND version IS NOT NULL) WHERE r = 1),
+pair AS (SELECT cluster_id, version AS a, lead(version) OVER (PARTITION BY cluster_id ORDER BY version) AS b FROM snap),
+rec AS (SELECT cluster_id, version, 'slot' AS record, CAST(i - 1 AS VARCHAR) AS item, owner AS value FROM (SELECT cluster_id, version, unnest(slots) AS owner, generate_subscripts(slots, 1) AS i FROM snap) WHERE owner <> ''
+  UNION ALL SELECT cluster_id, version, 'shard', k, CAST(list_sort(map_entries(v.members)) AS VARCHAR) FROM (SELECT cluster_id, version, unnest(map_keys(shards)) AS k, unnest(map_values(shards)) AS v FROM snap)),
+o AS (SELECT p.cluster_id, a, b, record, item, value FROM pair p JOIN rec ON rec.cluster_id = p.cluster_id AND rec.version = a WHERE b IS NOT NULL),
+n AS (SELECT p.cluster_id, a, b, record, item, value FROM pair p JOIN rec ON rec.cluster_id = p.cluster_id AND rec.version = b)
+SELECT coalesce(o.cluster_id, n.cluster_id) AS cluster_id, coalesce(o.a, n.a) AS from_version, coalesce(o.b, n.b) AS to_version, coalesce(o.record, n.record) AS record, coalesce(o.item, n.item) AS item,
+  CASE WHEN o.item IS NULL THEN 'added' WHEN n.item IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM o FULL JOIN n ON o.cluster_id = n.cluster_id AND o.a = n.a AND o.record = n.record AND o.item = n.item WHERE o.value IS DISTINCT FROM n.value"""
+
+_P2 = """WITH body AS (SELECT report_id, CAST(body AS JSON) AS j FROM rebalance_reports WHERE json_valid(body)),
+plain AS (SELECT report_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM body),
+rep AS (SELECT report_id, coalesce(json_extract(j, '$.batches'), json_extract(j, '$.report.batches'), json_extract(j, '$.result.batches')) AS b FROM plain),
+arr AS (SELECT report_id, CASE json_type(b) WHEN 'ARRAY' THEN json_extract(b, '$[*]') ELSE [b] END AS l FROM rep WHERE b IS NOT NULL AND json_type(b) <> 'NULL'),
+bat AS (SELECT report_id, unnest(l) AS b, generate_subscripts(l, 1) - 1 AS i FROM arr),
+sl AS (SELECT report_id, i, json_extract(b, '$.slots') AS s FROM bat WHERE json_type(b) <> 'NULL'),
+ll AS (SELECT report_id, i, CASE json_type(s) WHEN 'ARRAY' THEN list_transform(json_extract(s, '$[*]'), lambda x: json_extract_string(x, '$')) WHEN 'VARCHAR' THEN string_split(json_extract_string(s, '$'), ',') ELSE [] END AS l FROM sl),
+leaf AS (SELECT report_id, i, unnest(l) AS v, generate_subscripts(l, 1) - 1 AS k FROM ll),
+zs AS (SELECT dump_id, unnest(zsets) AS z, generate_subscripts(zsets, 1) - 1 AS i FROM slot_dumps),
+zm AS (SELECT dump_id, i, unnest(z.members) AS m, generate_subscripts(z.members, 1) - 1 AS k FROM zs WHERE z IS NOT NULL),
+ps AS (SELECT probe_id, unnest(shards) AS s, generate_subscripts(shards, 1) - 1 AS i FROM node_probes),
+pl AS (SELECT probe_id, i, unnest(s.learners) AS n, generate_subscripts(s.learners, 1) - 1 AS k FROM ps WHERE s IS NOT NULL)
+SELECT DISTINCT kind, parent_id, CAST(child_no AS INT) AS child_no, CAST(leaf_no AS INT) AS leaf_no, item FROM (
+  SELECT 'batch_slot' AS kind, report_id AS parent_id, i AS child_no, k AS leaf_no, trim(v) AS item FROM leaf WHERE v IS NOT NULL
+  UNION ALL SELECT 'batch_slot', report_id, i, -1, '' FROM ll WHERE len(list_filter(l, lambda x: x IS NOT NULL)) = 0
+  UNION ALL SELECT 'zset_member', dump_id, i, k, m.member FROM zm WHERE m.member IS NOT NULL
+  UNION ALL SELECT 'zset_member', dump_id, i, -1, '' FROM zs WHERE z IS NOT NULL AND coalesce(len(list_filter(z.members, lambda x: x.member IS NOT NULL)), 0) = 0
+  UNION ALL SELECT 'learner', probe_id, i, k, n FROM pl WHERE n IS NOT NULL)"""
+
+_P3 = """WITH v AS (SELECT node_id, CAST(probed_at AS DATE) AS d, latency_ms AS x FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY received_at) AS r FROM node_probes WHERE reachable AND latency_ms >= 0) WHERE r = 1),
+day AS (SELECT *, row_number() OVER (PARTITION BY node_id, d ORDER BY x) AS r, count(*) OVER (PARTITION BY node_id, d) AS n FROM v),
+mon AS (SELECT *, row_number() OVER (PARTITION BY node_id, date_trunc('month', d) ORDER BY x) AS r, count(*) OVER (PARTITION BY node_id, date_trunc('month', d)) AS n FROM v),
+pct AS (SELECT CAST(unnest([50, 95]) AS INT) AS pct)
+SELECT a.node_id, strftime(a.d, '%Y-%m-%d') AS probe_day, pct FROM pct, day a, mon b WHERE a.r = (a.n * pct + 99) // 100 AND b.r = (b.n * pct + 99) // 100
+  AND a.node_id = b.node_id AND date_trunc('month', a.d) = date_trunc('month', b.d) AND a.x >= 2 * b.x"""
+
+_CANON = "CASE WHEN data IS NULL THEN NULL WHEN json_valid(decode(data)) THEN 'j' || (SELECT string_agg(fullkey || '=' || type || '=' || coalesce(CAST(atom AS VARCHAR), ''), chr(10) ORDER BY fullkey) FROM json_tree(CAST(decode(data) AS JSON))) ELSE 'b' || hex(data) END"
+_P4 = f"""WITH c AS (SELECT shard_id AS shard, max(commit_index) FILTER (role = 'leader') AS l, max(commit_index) FILTER (role = 'follower') AS f FROM shard_status WHERE shard_id IS NOT NULL GROUP BY 1),
+a AS (SELECT DISTINCT shard, idx, term, cmd, {_CANON} AS data FROM wal_leader JOIN c USING (shard) WHERE idx <= least(l, f) AND l IS NOT NULL AND f IS NOT NULL),
+b AS (SELECT DISTINCT shard, idx, term, cmd, {_CANON} AS data FROM wal_follower JOIN c USING (shard) WHERE idx <= least(l, f) AND l IS NOT NULL AND f IS NOT NULL),
+j AS (SELECT coalesce(a.shard, b.shard) AS shard, coalesce(a.idx, b.idx) AS idx, a.shard IS NULL AS ma, b.shard IS NULL AS mb, a.term IS DISTINCT FROM b.term AS t, a.cmd IS DISTINCT FROM b.cmd AS m, a.data IS DISTINCT FROM b.data AS d
+  FROM a FULL JOIN b ON a.shard = b.shard AND a.idx = b.idx)
+SELECT shard, CAST(0 AS BIGINT) AS idx, 'commit_index' AS field FROM c WHERE l IS DISTINCT FROM f UNION ALL SELECT shard, idx, 'missing_in_leader' FROM j WHERE ma UNION ALL SELECT shard, idx, 'missing_in_follower' FROM j WHERE mb
+UNION ALL SELECT shard, idx, 'term' FROM j WHERE NOT ma AND NOT mb AND t UNION ALL SELECT shard, idx, 'cmd' FROM j WHERE NOT ma AND NOT mb AND m UNION ALL SELECT shard, idx, 'data' FROM j WHERE NOT ma AND NOT mb AND d"""
+
+_P5 = """WITH starts AS (SELECT shard, term, min(idx) AS s FROM command_log GROUP BY ALL),
+ends AS (SELECT shard, term, min(s) OVER (PARTITION BY shard ORDER BY term DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM starts),
+raw AS (SELECT shard, idx, decode(data) AS d FROM command_log JOIN ends USING (shard, term) WHERE (e IS NULL OR idx < e) AND data IS NOT NULL),
+c AS (SELECT shard, idx, json_extract_string(d, '$.cmd') AS cmd, json_extract(d, '$.args') AS a, json_extract_string(d, '$.args.key') AS k FROM raw WHERE json_valid(d)),
+gone AS (SELECT shard, idx, k, a, unnest(range(0, 100)) AS i FROM c WHERE cmd = 'DEL' AND k IS NOT NULL),
+names AS (SELECT shard, idx, i, CASE WHEN i = 0 THEN k ELSE json_extract_string(a, '$."' || i || '"') END AS k FROM gone),
+upto AS (SELECT shard, idx, min(i) FILTER (k IS NULL) AS stop FROM names GROUP BY ALL),
+zrem AS (SELECT shard, idx, k, a, unnest(json_keys(a)) AS name FROM c WHERE cmd = 'ZREM' AND k IS NOT NULL),
+ev AS (SELECT shard, idx, 'string' AS store, k AS kv_key, '' AS member, true AS live FROM c WHERE cmd = 'SET' AND k IS NOT NULL
+  UNION ALL SELECT shard, idx, 'zset', k, json_extract_string(a, '$.member'), true FROM c WHERE cmd = 'ZADD' AND k IS NOT NULL
+  UNION ALL SELECT n.shard, n.idx, 'string', k, '', false FROM names n JOIN upto u ON u.shard = n.shard AND u.idx = n.idx WHERE i < stop
+  UNION ALL SELECT shard, idx, 'zset', k, json_extract_string(a, '$."' || name || '"'), false FROM zrem WHERE name <> 'key')
+SELECT shard, store, kv_key, member, max(idx) AS last_idx FROM ev GROUP BY shard, store, kv_key, member HAVING arg_max(live, idx)"""
+
+
+@query(_P1)
 def p1_found(spark, folder):
     return snapshot_changes.topology_changes(table(spark, folder, "topology_snapshots"))
 
 
-@query()
+@query(_P2)
 def p2_found(spark, folder):
     return nested.nested_elements(table(spark, folder, "rebalance_reports"), table(spark, folder, "slot_dumps"), table(spark, folder, "node_probes"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT probe_id, unnest(shards) AS s, generate_subscripts(shards, 1) - 1 AS i FROM node_probes)
+SELECT DISTINCT probe_id, CAST(i AS INT) AS position, s.shard_id AS shard_id, s.role AS role, s.leader_id AS leader_id, s.term AS term, s.commit_index AS commit_index, s.slots AS slots FROM s WHERE s IS NOT NULL"""
+)
+def p2_shard_states(spark, folder):
+    """The flat table of shard states, each with its probe and position."""
+    shard = nested.Node("shard", "shards", nested.PROBE_NODES.fields)
+    written = nested.write_tagged(nested.emit_typed(table(spark, folder, "node_probes"), "probe_id", [shard]))
+    states = written.table("shard", "shard_id STRING, role STRING, leader_id STRING, term BIGINT, commit_index BIGINT, slots INT").distinct()
+    return states.select(F.col("root").alias("probe_id"), F.get("pk", F.lit(0)).alias("position"), "shard_id", "role", "leader_id", "term", "commit_index", "slots")
+
+
+@query(_P3)
 def p3_found(spark, folder):
     return radix.slow_days(table(spark, folder, "node_probes"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem),
+p AS (SELECT CAST(unnest([1, 25, 50, 75, 99]) AS INT) AS pct) SELECT l_returnflag, l_linestatus, pct, n AS size, x AS value FROM r, p WHERE r = (n * pct + 99) // 100"""
+)
+def p3_price_percentiles(spark, folder):
+    """Percentiles of a floating-point column."""
+    keys = ["l_returnflag", "l_linestatus"]
+    found = radix.radix_percentiles(table(spark, folder, "lineitem"), "l_extendedprice", keys, {"all": keys}, [1, 25, 50, 75, 99])["all"]
+    return found.select(*keys, "pct", "size", "value")
+
+
+@query(_P4)
 def p4_found(spark, folder):
     return copy_differences.log_differences(table(spark, folder, "wal_leader"), table(spark, folder, "wal_follower"), table(spark, folder, "shard_status"))
 
 
-@query()
+@query(_P5)
 def p5_found(spark, folder):
     return change_feed.live_records(table(spark, folder, "command_log"))
