@@ -2,6 +2,10 @@
 
 Identical rows are removed by EXCEPT ALL in both directions; the few rows left over on either side are joined by
 key with a full join, which labels them added, removed or changed.
+
+Both directions come from one aggregate: a row of the old side counts +1 and one of the new side -1, and the sum
+over equal rows says how often the row is left over, and where.  ``DataFrame.exceptAll`` is rewritten to the same
+sum, once for each direction.
 """
 
 from __future__ import annotations
@@ -10,13 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.operators.neighbours import with_neighbours
+from slotweave.workspace import materialize
 
 BLOCK = 64  # neighbouring slots that are compared as one row before single slots are
 
 
 def residues(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``old`` without an equal row in ``new``, and the reverse; repeated rows count."""
-    return old.exceptAll(new), new.exceptAll(old)
+    """old EXCEPT ALL new, and new EXCEPT ALL old: rows without an equal row on the other side, repeated rows too.
+
+    Null equals null.  The residues are written to the shared folder, so that both sides are computed once.
+    """
+    signed = old.withColumn("_copies", F.lit(1)).union(new.select(*old.columns).withColumn("_copies", F.lit(-1)))
+    left = materialize(signed.groupBy(*old.columns).agg(F.sum("_copies").alias("_copies")).where("_copies <> 0"), "residues")
+
+    def side(sign: int) -> DataFrame:
+        rows = left.where(F.col("_copies") * sign > 0)
+        return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_copies")))).drop("_copies")
+
+    return side(1), side(-1)
 
 
 def label_changes(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -58,11 +73,11 @@ def topology_changes(deliveries: DataFrame) -> DataFrame:
     chosen = whole.groupBy("cluster_id", "version").agg(F.min("delivery_id").alias("delivery_id"))
     pairs = with_neighbours(chosen, ["cluster_id"], "version")
     chosen = chosen.join(pairs, ["cluster_id", "version"]).drop("cluster_id", "version")
-    snapshots = whole.select("delivery_id", "cluster_id", "version", "slots", "shards").join(chosen, "delivery_id").drop("delivery_id")
+    owners = F.transform("slots", lambda owner: F.coalesce(owner, F.lit(""))).alias("owners")
+    snapshots = materialize(whole.select("delivery_id", "cluster_id", "version", owners, "shards").join(chosen, "delivery_id").drop("delivery_id"), "snapshots")
 
-    owners = F.transform("slots", lambda owner: F.coalesce(owner, F.lit("")))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("slots") - 1, F.lit(0)).cast("int"), F.lit(BLOCK))
-    sliced = F.transform(starts, lambda at: F.struct(at.alias("start"), F.slice(owners, at + 1, BLOCK).alias("owners")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("owners") - 1, F.lit(0)).cast("int"), F.lit(BLOCK))
+    sliced = F.transform(starts, lambda at: F.struct(at.alias("start"), F.slice("owners", at + 1, BLOCK).alias("owners")))
     head = ["cluster_id", "version", "previous", "next"]
     blocks = snapshots.select(*head, F.inline(sliced))
     old, new = residues(*_sides(blocks))
