@@ -125,7 +125,7 @@ def replay(log: DataFrame, buckets: int | None = None) -> DataFrame:
     Entries whose data is null, broken or no JSON command, and commands that touch other stores, have no effect.
     The command in ``data`` counts, whatever the column ``cmd`` says.
     """
-    entries = in_force(log).where("data IS NOT NULL").select("shard", "idx", "data")
+    entries = in_force(log.select("shard", "idx", "term", "data")).where("data IS NOT NULL").select("shard", "idx", "data")
     reduced = entries.mapInArrow(lambda batches: upsert(_decoded(batches)), STATE)
     spark = log.sparkSession
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -107,6 +107,8 @@ def log_differences(leader: DataFrame, follower: DataFrame, status: DataFrame) -
     is 'missing_in_leader', 'missing_in_follower', or the field that differs; null equals null only, and data is
     compared as JSON values.  Rows with a null shard or index are not entries.
     """
+    columns = ["shard", "idx", "term", "ts", "cmd", "data"]
+    leader, follower = leader.select(*columns), follower.select(*columns)
     commits = materialize(commit_indexes(status), "copy-commits")
     differing = commits.where(~F.col("leader").eqNullSafe(F.col("follower"))).select("shard", F.lit(0).cast("bigint").alias("idx"), F.lit("commit_index").alias("field"))
     upto = commits.where("leader IS NOT NULL AND follower IS NOT NULL").select("shard", F.least("leader", "follower").alias("upto"))

@@ -58,6 +58,7 @@ def matching(channels: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def fan_out(publishes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """idx, sub_id, kind ('message' or 'pmessage'), channel, pattern, payload: a copy for each subscription that matches."""
+    publishes, subscriptions = publishes.select("idx", "channel", "message"), subscriptions.select("sub_id", "kind", "topic")
     exact = subscriptions.where("kind = 'channel'").select("sub_id", F.col("topic").alias("channel"))
     direct = publishes.join(exact, "channel").select("idx", "sub_id", F.lit("message").alias("kind"), "channel", F.lit(None).cast("string").alias("pattern"), F.col("message").alias("payload"))
     patterns = subscriptions.where("kind = 'pattern'")
