@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.operators.neighbours import spread_rank
+
 
 def _order() -> list[Column]:
     return [F.desc("score"), F.col("member")]
@@ -21,7 +23,8 @@ def delete(board: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def ranks(board: DataFrame) -> DataFrame:
-    return board.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*_order())).cast("bigint"))
+    """Every member with its rank; a hot board is ranked in parts."""
+    return spread_rank(board, ["key"], _order()).withColumn("rank", F.col("rank") + 1)
 
 
 def rank_range(board: DataFrame, start: int, end: int) -> DataFrame:

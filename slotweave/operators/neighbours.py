@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.workspace import materialize
+
 
 def with_neighbours(df: DataFrame, keys: list[str], value: str, block: int = 4096) -> DataFrame:
     """Distinct (keys, value) with columns ``previous`` and ``next``, null at the ends.
@@ -27,6 +29,28 @@ def with_neighbours(df: DataFrame, keys: list[str], value: str, block: int = 409
     )
 
 
+def spread_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:
+    """The rows with a 0-based BIGINT ``rank`` within ``keys`` by ``order``, which must have no ties within a key.
+
+    A window over the keys alone would sort a hot key in one task.  Here all rows are range-partitioned by (keys,
+    order), so that a hot key spans many partitions; each numbers its part of a key, and the sizes of the parts
+    before it are added.  The range-partitioned rows are written once, so the cuts are the same for both steps.
+    A column of that name in ``df`` is replaced.
+    """
+    spark = df.sparkSession
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.drop(rank).repartitionByRange(count, *keys, *order).withColumn("_part", F.spark_partition_id())
+    rows = materialize(ranged, "ranked")
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(starts, same).withColumn(rank, (F.col("_start") + F.col("_number")).cast("bigint")).select(*df.drop(rank).columns, rank)
+
+
 def rank_in_blocks(df: DataFrame, key: str, salt: Column, order: list[Column], rank: str = "rank", salts: int = 64) -> DataFrame:
     """A 0-based number for each row within ``key``; ties of ``key`` are spread over ``salts`` blocks.
 

@@ -80,7 +80,8 @@ def deliveries_per_publish(publishes: DataFrame, subscriptions: DataFrame) -> Da
 def mailboxes(deliveries: DataFrame, size: int = MAILBOX) -> DataFrame:
     """The messages a mailbox keeps, with seq from 1; those that come when it is full are dropped."""
     order = Window.partitionBy("sub_id").orderBy("idx", "kind", "channel", "pattern")
-    return deliveries.withColumn("seq", F.row_number().over(order).cast("bigint")).where(F.col("seq") <= size)
+    numbered = deliveries.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= size)  # a limit per mailbox before the shuffle
+    return numbered.withColumn("seq", F.col("_row").cast("bigint")).drop("_row")
 
 
 def dropped(deliveries: DataFrame, size: int = MAILBOX) -> DataFrame:
@@ -95,9 +96,8 @@ def poll(mailbox: DataFrame, after: int = 0, most: int = 64) -> DataFrame:
 
 
 def channels(subscriptions: DataFrame) -> DataFrame:
-    """One row: sorted distinct channels and patterns, and the number of subscribers."""
-    topics = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("topic"))))
-    return subscriptions.agg(topics("channel").alias("channels"), topics("pattern").alias("patterns"), F.countDistinct("sub_id").alias("subscribers"))
+    """kind, topic, subscribers: the channels and patterns with a subscription."""
+    return subscriptions.dropna(subset=["sub_id", "topic"]).groupBy("kind", "topic").agg(F.countDistinct("sub_id").alias("subscribers"))
 
 
 def reap(seen: DataFrame, now_ms: int, idle_ms: int = IDLE_MS) -> DataFrame:

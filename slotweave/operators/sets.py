@@ -21,8 +21,9 @@ def sadd(members: DataFrame) -> DataFrame:
 
 def sadd_replies(log: DataFrame) -> DataFrame:
     """key, member, idx, added: 1 for the first SADD of a member, else 0."""
-    first = Window.partitionBy("key", "member").orderBy("idx")
-    return log.where("key IS NOT NULL AND member IS NOT NULL").select("key", "member", "idx", F.when(F.row_number().over(first) == 1, 1).otherwise(0).cast("bigint").alias("added"))
+    rows = log.where("key IS NOT NULL AND member IS NOT NULL").select("key", "member", "idx")
+    first = rows.groupBy("key", "member").agg(F.min("idx").alias("_first"))
+    return rows.join(first, ["key", "member"]).select("key", "member", "idx", (F.col("idx") == F.col("_first")).cast("bigint").alias("added"))
 
 
 def srem(state: DataFrame, gone: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def scard(state: DataFrame) -> DataFrame:
     return state.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
 
 
-def smembers(state: DataFrame) -> DataFrame:
-    """key, members: all members of each set as one sorted array."""
-    return state.groupBy("key").agg(F.sort_array(F.collect_set("member")).alias("members"))
+def smembers(state: DataFrame, key: str | None = None) -> DataFrame:
+    """All members of each set, or of one, as rows; a large set is never one value."""
+    return state.select("key", "member") if key is None else state.where(F.col("key") == key).select("key", "member")
 
 
 def sismember(state: DataFrame, asked: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.functions.keyspace import SLOTS, hash_slot
+from slotweave.operators.neighbours import spread_rank
 
+CHUNK = 4096  # members in one entry of a dump
 MEMBERS = {"sets": ["member"], "zsets": ["member", "score"], "boards": ["member", "score", "data"]}
 
 
@@ -36,24 +38,22 @@ def _inside(df: DataFrame, wanted: list[int], slots: int, how: str = "left_semi"
     return with_slot(df, slots).join(F.broadcast(chosen), "slot", how)
 
 
-def dump(state: dict[str, DataFrame], wanted: list[int], now_ms: int, slots: int = SLOTS) -> DataFrame:
-    """slot, store, key, entry: a row for each key in the slots, its content as JSON; expired strings are left out.
+def dump(state: dict[str, DataFrame], wanted: list[int], now_ms: int, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
+    """slot, store, key, chunk, entry: the content of the keys in the slots as JSON; expired strings are left out.
 
-    Entries of sorted sets come in rank order.  One row per key keeps any slot distributable; ``document`` folds the
-    rows of a slot into one nested value.
+    Members come in rank order, at most ``chunk`` of them in one entry, so that no key has to fit into one value.
     """
     parts = []
     if "strings" in state:
         alive = state["strings"].where(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms))
-        parts.append(_inside(alive, wanted, slots).select("slot", F.lit("strings").alias("store"), "key", F.to_json(F.struct("value", "expire_at_ms")).alias("entry")))
-    order = {"sets": ["member"], "zsets": ["score", "member"], "boards": ["_rank", "member"]}
+        parts.append(_inside(alive, wanted, slots).select("slot", F.lit("strings").alias("store"), "key", F.lit(0).cast("bigint").alias("chunk"), F.to_json(F.struct("value", "expire_at_ms")).alias("entry")))
+    order = {"sets": [F.col("member")], "zsets": [F.col("score"), F.col("member")], "boards": [F.desc("score"), F.col("member")]}
     for store, columns in MEMBERS.items():
         if store in state:
-            rows = _inside(state[store], wanted, slots)
-            rows = rows.withColumn("_rank", -F.col("score")) if store == "boards" else rows
-            sort = F.struct(*order[store], *(c for c in columns if c not in order[store]))
-            members = F.transform(F.sort_array(F.collect_list(sort)), lambda m: F.struct(*(m[c].alias(c) for c in columns)))
-            parts.append(rows.groupBy("slot", "key").agg(F.to_json(members).alias("entry")).select("slot", F.lit(store).alias("store"), "key", "entry"))
+            rows = spread_rank(_inside(state[store], wanted, slots).select("slot", "key", *columns), ["slot", "key"], order[store], "_rank")
+            members = F.transform(F.sort_array(F.collect_list(F.struct("_rank", *columns))), lambda m: F.struct(*(m[c].alias(c) for c in columns)))
+            chunked = rows.groupBy("slot", "key", F.expr(f"_rank div {chunk}").alias("chunk")).agg(F.to_json(members).alias("entry"))
+            parts.append(chunked.select("slot", F.lit(store).alias("store"), "key", "chunk", "entry"))
     whole = parts[0]
     for more in parts[1:]:
         whole = whole.unionByName(more)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions.bounds import rank_between, within
+from slotweave.operators.neighbours import spread_rank
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -25,8 +26,7 @@ def _descending() -> list[Column]:
 
 
 def _ranked(state: DataFrame, rev: bool = False) -> DataFrame:
-    order = Window.partitionBy("key").orderBy(*(_descending() if rev else _ascending()))
-    return state.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
+    return spread_rank(state, ["key"], _descending() if rev else _ascending())
 
 
 def zadd(log: DataFrame, mode: str | None = None) -> DataFrame:
@@ -85,8 +85,8 @@ def zrange(state: DataFrame, start: int, stop: int, rev: bool = False) -> DataFr
     if 0 <= start and 0 <= stop:  # a filter on row_number alone becomes a limit per partition before the shuffle
         ranked = state.withColumn("_row", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
         return ranked.where((F.col("_row") <= stop + 1) & (F.col("_row") > start)).withColumn("rank", (F.col("_row") - 1).cast("bigint")).drop("_row")
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return _ranked(state, rev).withColumn("_size", size).where(rank_between(F.col("rank"), F.col("_size"), start, stop)).drop("_size")
+    ranked = _ranked(state, rev).join(zcard(state).withColumnRenamed("size", "_size"), "key")
+    return ranked.where(rank_between(F.col("rank"), F.col("_size"), start, stop)).drop("_size")
 
 
 def zrevrange(state: DataFrame, start: int, stop: int) -> DataFrame:
@@ -106,5 +106,5 @@ def zcount(state: DataFrame, low: str, high: str) -> DataFrame:
 
 def zpop(state: DataFrame, count: int = 1, highest: bool = True) -> tuple[DataFrame, DataFrame]:
     """(the members taken from the end of each key, the rest)."""
-    taken = zrange(state, 0, count - 1, rev=highest) if count > 0 else _ranked(state).where(F.lit(False))
+    taken = zrange(state, 0, count - 1, rev=highest) if count > 0 else state.withColumn("rank", F.lit(0).cast("bigint")).where(F.lit(False))
     return taken, zrem(state, taken)

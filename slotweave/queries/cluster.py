@@ -9,7 +9,7 @@ from slotweave.functions.keyspace import hash_slot, hash_tag
 from slotweave.operators import bloom, cms, geosearch, pubsub, ratelimit, slots, strings
 from slotweave.plans import consensus, placement, status
 from slotweave.queries import Registry, table
-from slotweave.queries.stores import _KV, NOW, kv_log
+from slotweave.queries.stores import _KV, NOW, _z, kv_log
 
 registry = Registry()
 query = registry.add
@@ -184,10 +184,9 @@ def pubsub_dropped(spark, folder):
     return pubsub.dropped(_delivered(spark, folder))
 
 
-@query(_PS + """SELECT array_to_string(list_sort(list(DISTINCT topic) FILTER (kind = 'channel')), ' ') AS channels,
-  array_to_string(list_sort(list(DISTINCT topic) FILTER (kind = 'pattern')), ' ') AS patterns, count(DISTINCT sub_id) AS subscribers FROM sub""")
+@query(_PS + "SELECT kind, topic, count(DISTINCT sub_id) AS subscribers FROM sub GROUP BY ALL")
 def pubsub_channels(spark, folder):
-    return pubsub.channels(_subscriptions(spark, folder)).select(F.array_join("channels", " ").alias("channels"), F.array_join("patterns", " ").alias("patterns"), "subscribers")
+    return pubsub.channels(_subscriptions(spark, folder))
 
 
 _SUBLOG = "SELECT event_id AS idx, 'sub-' || (user_id % 30) AS sub_id, CASE WHEN event_type IN ('error', 'signup') THEN 'unsubscribe' ELSE 'subscribe' END AS cmd, CASE WHEN event_type <> 'error' THEN event_type || '.' || (event_id % 7) END AS topic FROM events"
@@ -332,12 +331,19 @@ def install_topology(spark, folder):
 @query(
     _KV
     + f""", live AS (SELECT *, CAST({_crc("key")} % 16384 AS BIGINT) AS slot FROM state WHERE expire_at_ms IS NULL OR expire_at_ms > {NOW})
-SELECT slot, 'strings' AS store, key, '{{"value":"' || value || '"' || CASE WHEN expire_at_ms IS NULL THEN '' ELSE ',"expire_at_ms":' || expire_at_ms END || '}}' AS entry FROM live WHERE slot < 8192"""
+SELECT slot, 'strings' AS store, key, CAST(0 AS BIGINT) AS chunk, '{{"value":"' || value || '"' || CASE WHEN expire_at_ms IS NULL THEN '' ELSE ',"expire_at_ms":' || expire_at_ms END || '}}' AS entry FROM live WHERE slot < 8192"""
 )
 def dump_slot(spark, folder):
     return slots.dump({"strings": strings.replay(kv_log(spark, folder))}, list(range(8192)), NOW)
 
 
+@query("SELECT o_orderpriority AS key, CAST(o_custkey AS VARCHAR) AS member, arg_max(round(o_totalprice, 0), o_orderkey) AS score FROM orders GROUP BY ALL")
+def restore_zsets(spark, folder):
+    state = {"zsets": _z(spark, folder)}
+    dumped = slots.dump(state, list(range(16_384)), NOW, chunk=100)
+    return slots.restore({"zsets": state["zsets"].where("score < 50000")}, dumped, NOW)["zsets"]
+
+
 @query(_KV + f"SELECT key, value, expire_at_ms FROM state WHERE NOT (expire_at_ms IS NOT NULL AND expire_at_ms <= {NOW} AND {_crc('key')} % 16384 < 8192)")
 def restore_slot(spark, folder):
     state = {"strings": strings.replay(kv_log(spark, folder))}

@@ -154,9 +154,9 @@ def set_scard(spark, folder):
     return sets.scard(_set_state(spark, folder))
 
 
-@query(_SET + "SELECT key, array_to_string(list_sort(list(member)), ',') AS members FROM state GROUP BY key")
+@query(_SET + "SELECT key, member FROM state WHERE key = '7'")
 def set_smembers(spark, folder):
-    return sets.smembers(_set_state(spark, folder)).withColumn("members", F.array_join("members", ","))
+    return sets.smembers(_set_state(spark, folder), "7")
 
 
 @query(_SET + "SELECT key, member, CAST(EXISTS (SELECT 1 FROM state s WHERE s.key = a.key AND s.member = a.member) AS BIGINT) AS is_member FROM asked a")
