@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import geo
 from slotweave.functions.keyspace import SLOTS, hash_slot, hash_tag
-from slotweave.operators import boards, geosearch, sets, strings, zsets
+from slotweave.operators import bloom, boards, cms, geosearch, pubsub, sets, slots, strings, zsets
+from slotweave.operators.ratelimit import Limiter
 from slotweave.plans import placement
 from slotweave.workspace import materialize
 
@@ -54,7 +55,7 @@ def _text(args: dict[str, str], name: str) -> str:
 
 
 def _numbered(args: dict[str, str], first: str) -> list[str]:
-    found, n = [_text(args, first)], 1
+    found, n = [_text(args, first)], 1 if first != "1" else 2
     while str(n) in args:
         found.append(args[str(n)])
         n += 1
@@ -65,6 +66,16 @@ class Engine:
     def __init__(self, spark: SparkSession, now_ms: int = 0, seed: int = 0):
         self.spark, self.now_ms, self.seed = spark, now_ms, seed
         self.state = {store: spark.createDataFrame([], schema) for store, schema in SCHEMAS.items()}
+        self.blooms: dict[str, tuple[int, float, int]] = {}
+        self.sketches: dict[str, tuple[int, int]] = {}
+        self.limiters: dict[str, Limiter] = {}
+        self.bits = spark.createDataFrame([], "key STRING, word BIGINT, bits BIGINT")
+        self.cells = spark.createDataFrame([], "key STRING, row INT, col BIGINT, n BIGINT")
+        self.topics = spark.createDataFrame([], "sub_id STRING, kind STRING, topic STRING")
+        self.sent = spark.createDataFrame([], "idx BIGINT, sub_id STRING, kind STRING, channel STRING, pattern STRING, payload STRING")
+        self.subscribers: list[str] = []
+        self.polled: dict[str, int] = {}
+        self.published = 0
 
     def execute(self, cmd: str, args: dict[str, str] | None = None) -> DataFrame:
         """The result of one command; an unknown one, or one with bad arguments, raises CommandError."""
@@ -326,8 +337,180 @@ class Engine:
         return geosearch.members_within(centre, points, radius).select("member", "distance")
 
 
+    # ---- sketches: parameters are kept per key, the bits and cells in one table for all keys
+
+    def _known(self, table: dict, args) -> tuple:
+        key = _text(args, "key")
+        if key not in table:
+            raise CommandError(f"no such key: {key}")
+        return key, table[key]
+
+    def _bf_reserve(self, args):
+        key = _text(args, "key")
+        if key in self.blooms:
+            raise CommandError("key exists")
+        self._bf_create(key, _number(args, "capacity"), _number(args, "errRate", float))
+        return self._reply("OK", "string")
+
+    def _bf_create(self, key: str, capacity: int, error_rate: float) -> None:
+        try:
+            bloom.sizing(capacity, error_rate)
+        except ValueError as error:
+            raise CommandError(str(error)) from None
+        self.blooms[key] = (capacity, error_rate, 0)
+
+    def _items(self, key: str, items: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(key, item) for item in items], "key STRING, item STRING")
+
+    def _bf_madd(self, args):
+        key = _text(args, "key")
+        items = _numbered(args, "1") if "1" in args else []
+        if key not in self.blooms:
+            self._bf_create(key, bloom.CAPACITY, bloom.ERROR)
+        capacity, error_rate, inserted = self.blooms[key]
+        self.bits = bloom.merge(self.bits, bloom.madd(self._items(key, items), capacity, error_rate))
+        self.blooms[key] = (capacity, error_rate, inserted + len(items))
+        return self._reply(len(items))
+
+    def _bf_mexists(self, args):
+        key = _text(args, "key")
+        items = _numbered(args, "1") if "1" in args else [_text(args, "item")]
+        capacity, error_rate, _ = self.blooms.get(key, (bloom.CAPACITY, bloom.ERROR, 0))
+        return bloom.exists(self.bits, self._items(key, items), capacity, error_rate).select("item", F.col("present").alias("result"))
+
+    _bf_exists = _bf_mexists
+
+    def _bf_info(self, args):
+        _, (capacity, error_rate, inserted) = self._known(self.blooms, args)
+        bits, hashes = bloom.sizing(capacity, error_rate)
+        row = (capacity, bits // 8, hashes, error_rate, inserted)
+        return self.spark.createDataFrame([row], "capacity BIGINT, size_bytes BIGINT, hashes BIGINT, error_rate DOUBLE, inserted BIGINT")
+
+    def _cms_create(self, args, width: int, depth: int):
+        key = _text(args, "key")
+        if key in self.sketches:
+            raise CommandError("key exists")
+        if width <= 0 or depth <= 0:
+            raise CommandError("width and height must be positive")
+        self.sketches[key] = (width, depth)
+        return self._reply("OK", "string")
+
+    def _cms_initbydim(self, args):
+        return self._cms_create(args, _number(args, "width"), _number(args, "height"))
+
+    def _cms_initbyprob(self, args):
+        try:
+            width, depth = cms.dimensions(_number(args, "errRate", float), _number(args, "probability", float))
+        except CommandError:
+            raise
+        except ValueError as error:
+            raise CommandError(str(error)) from None
+        return self._cms_create(args, width, depth)
+
+    def _cms_incrby(self, args):
+        key, (width, depth) = self._known(self.sketches, args)
+        by = _number(args, "value")
+        if not 0 <= by <= cms.MAX_CELL:
+            raise CommandError("value out of range")
+        adds = self._items(key, [_text(args, "item")]).withColumn("n", F.lit(by).cast("bigint"))
+        self.cells = cms.merge(self.cells, cms.incrby(adds, width, depth))
+        return self._cms_query(args)
+
+    def _cms_query(self, args):
+        key, (width, depth) = self._known(self.sketches, args)
+        return cms.query(self.cells, self._items(key, [_text(args, "item")]), width, depth).select(F.col("estimate").alias("result"))
+
+    # ---- rate limiters
+
+    def _ratelimit_args(self, args) -> tuple[str, int, int, str]:
+        limit, window = _number(args, "limit"), _number(args, "window_ms")
+        if limit <= 0 or window <= 0:
+            raise CommandError("limit and window must be positive")
+        return _text(args, "key"), limit, window, args.get("type", "fixed")
+
+    def _ratelimit_init(self, args):
+        key, limit, _, _ = self._ratelimit_args(args)
+        self.limiters.setdefault(key, Limiter.fresh(self.now_ms, limit))
+        return self._reply("OK", "string")
+
+    def _ratelimit_check(self, args):
+        key, limit, window, kind = self._ratelimit_args(args)
+        reply = self.limiters.setdefault(key, Limiter.fresh(self.now_ms, limit)).check(kind, limit, window, self.now_ms)
+        return self.spark.createDataFrame([(*reply, kind)], "allowed BOOLEAN, remaining BIGINT, retry_after_ms BIGINT, type STRING")
+
+    # ---- channels
+
+    def _subscribed(self, args, kind: str, topic: str):
+        own = args.get("id") if args.get("id") in set(self.subscribers) else f"sub-{len(self.subscribers) + 1}"
+        if own not in self.subscribers:
+            self.subscribers.append(own)
+        self.topics = self.topics.unionByName(self.spark.createDataFrame([(own, kind, topic)], self.topics.schema)).distinct()
+        return self._reply(own, "string")
+
+    def _subscribe(self, args):
+        return self._subscribed(args, "channel", _text(args, "channel"))
+
+    def _psubscribe(self, args):
+        return self._subscribed(args, "pattern", args.get("pattern") or _text(args, "channel"))
+
+    def _unsubscribe(self, args, kind: str = "channel"):
+        gone = (F.col("sub_id") == _text(args, "id")) & (F.col("kind") == kind)
+        if args.get(kind):
+            gone = gone & (F.col("topic") == args[kind])
+        count = self.topics.agg(F.count_if(gone).alias("result"))
+        self.topics = self.topics.where(~gone)
+        return count
+
+    def _punsubscribe(self, args):
+        return self._unsubscribe(args, "pattern")
+
+    def _publish(self, args):
+        message = self.spark.createDataFrame([(self.published, _text(args, "channel"), args.get("message", ""))], "idx BIGINT, channel STRING, message STRING")
+        self.published += 1
+        sent = materialize(pubsub.fan_out(message, self.topics), "engine-sent")
+        self.sent = self.sent.unionByName(sent)
+        return sent.agg(F.count(F.lit(1)).alias("result"))
+
+    def _poll(self, args):
+        own, most = _text(args, "id"), _number(args, "max", default=64)
+        done = self.polled.get(own, -1)
+        box = pubsub.mailboxes(self.sent.where((F.col("sub_id") == own) & (F.col("idx") > done)))
+        read = materialize(pubsub.poll(box, most=most), "engine-polled")
+        self.polled[own] = read.agg(F.max("idx")).first()[0] if not read.isEmpty() else done
+        return read.select("seq", "kind", "channel", "pattern", "payload")
+
+    def _pubsub_channels(self, args):
+        return pubsub.channels(self.topics)
+
+    # ---- slots
+
+    def _wanted(self, args) -> tuple[list[int], int]:
+        count = _number(args, "slots", default=SLOTS)
+        try:
+            return slots.parse_slots(",".join(filter(None, (args.get("slot"), args.get("slot_list")))), count), count
+        except ValueError as error:
+            raise CommandError(str(error)) from None
+
+    def _cluster_dumpslot(self, args):
+        wanted, count = self._wanted(args)
+        return slots.dump(self.state, wanted, self.now_ms, count)
+
+    def restore(self, dumped: DataFrame) -> DataFrame:
+        """CLUSTER_RESTORE: put the keys of a dump in place of the state's own; the reply counts them."""
+        dumped = materialize(dumped, "engine-dump")
+        self.state = slots.restore(self.state, dumped, self.now_ms)
+        return dumped.agg(F.countDistinct("store", "key").alias("result"))
+
+    def _cluster_delslot(self, args):
+        wanted, count = self._wanted(args)
+        self.state = slots.delete_slots(self.state, wanted, count)
+        return self._reply("OK", "string")
+
+
 COMMANDS = frozenset(
     "PING SET GET TTL DEL EXPIRE INCR SADD SREM SCARD SMEMBERS SISMEMBER SMISMEMBER SPOP SRAND ZADD ZINCRBY ZREM ZSCORE ZCARD ZRANK ZREVRANK ZRANGE ZREVRANGE"
     " ZRANGEBYSCORE ZREVRANGEBYSCORE ZCOUNT ZPOPMAX ZPOPMIN SL_ADD SL_DELETE SL_GETRANK SL_GET_RANK_BY_NAME SL_GET_BY_RANK SL_GET_RANK_RANGE"
-    " SL_GET_SCORE_RANGE SL_LEN GEOADD GEOPOS GEODIST GEOHASH GEOSEARCH".split()
+    " SL_GET_SCORE_RANGE SL_LEN GEOADD GEOPOS GEODIST GEOHASH GEOSEARCH BF_RESERVE BF_MADD BF_EXISTS BF_MEXISTS BF_INFO CMS_INITBYDIM CMS_INITBYPROB"
+    " CMS_INCRBY CMS_QUERY RATELIMIT_INIT RATELIMIT_CHECK SUBSCRIBE PSUBSCRIBE UNSUBSCRIBE PUNSUBSCRIBE PUBLISH POLL PUBSUB_CHANNELS CLUSTER_DUMPSLOT"
+    " CLUSTER_DELSLOT".split()
 )
