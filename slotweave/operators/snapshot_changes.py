@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slotweave.operators.neighbours import with_neighbours
 from slotweave.workspace import materialize
 
-BLOCK = 64  # neighbouring slots that are compared as one row before single slots are
+BLOCK = 16  # neighbouring slots that are compared as one row before single slots are
 
 
 def residues(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,7 @@ def topology_changes(deliveries: DataFrame) -> DataFrame:
     An empty or null owner means that the slot's record is absent; a shard's value is its set of members and
     addresses, and null members are an empty set.
 
-    Slots are first compared in blocks of 64: EXCEPT ALL drops equal blocks, so that only the slots of unequal
+    Slots are first compared in blocks of 16: EXCEPT ALL drops equal blocks, so that only the slots of unequal
     blocks become rows of their own.
     """
     whole = deliveries.where((F.size("slots") == F.col("slot_count")) & F.col("cluster_id").isNotNull() & F.col("version").isNotNull())
