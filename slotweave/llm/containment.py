@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -160,6 +161,25 @@ def passages_of(item_id: int, text: str, span: int = SPAN) -> list[tuple[int, tu
     return [(item_id, tuple(own[i : i + span])) for i in range(len(own) - span + 1)]
 
 
+def _pieces(text: str, size: int = 4 * _CHUNK, overlap: int = SPAN) -> Iterator[str]:
+    """A very long text in pieces that share ``overlap`` words, so that every passage lies whole in one of them."""
+    start, end = 0, size
+    while end < len(text):
+        while end < len(text) and text[end - 1].isalnum():  # never within a word
+            end += 1
+        reach, last = 1024, []
+        while len(last) <= overlap and reach < 4 * (end - start):
+            last = [m.start() for m in _WORD.finditer(text, max(start, end - reach), end)]
+            reach *= 4
+        if len(last) <= overlap:  # hardly any words: a larger piece
+            end += size
+            continue
+        yield text[start:end]
+        start = last[-overlap]
+        end = max(start, end) + size
+    yield text[start:]
+
+
 def _search(index, batches):
     own = index.value
 
@@ -172,11 +192,12 @@ def _search(index, batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if doc_id is None or not text:
                 continue
-            chunk.append((doc_id, reader_text(text).lower()))
-            size += len(chunk[-1][1])
-            if size >= _CHUNK:
-                yield rows(own.search(chunk))
-                chunk, size = [], 0
+            for piece in _pieces(reader_text(text).lower()):
+                chunk.append((doc_id, piece))
+                size += len(piece)
+                if size >= _CHUNK:
+                    yield rows(own.search(chunk))
+                    chunk, size = [], 0
         if chunk:
             yield rows(own.search(chunk))
 

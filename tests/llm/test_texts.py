@@ -163,3 +163,14 @@ def test_terms():
 def test_long_texts(text):
     residue.candidate_cells(text)
     containment.PassageIndex(containment.passages_of(1, "a b c")).search([(1, text)])
+
+
+def test_pieces_of_very_long_texts_lose_no_passage():
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice([" ", "  ", "\n", "-"]) + f"w{i}" * rng.choice([1, 1, 1, 3]) for i in range(rng.randint(0, 200))) + " " * rng.choice([0, 0, 400])
+        own = containment.words(text)
+        want = {tuple(own[i : i + 4]) for i in range(len(own) - 3)}
+        parts = [containment.words(p) for p in containment._pieces(text, size=rng.randint(5, 120), overlap=4)]
+        assert {tuple(p[i : i + 4]) for p in parts for i in range(len(p) - 3)} == want
+        assert set(own) == {w for p in parts for w in p}
