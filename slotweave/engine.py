@@ -17,6 +17,7 @@ from slotweave.functions.keyspace import SLOTS, hash_slot, hash_tag
 from slotweave.operators import bloom, boards, cms, geosearch, pubsub, sets, slots, strings, zsets
 from slotweave.operators.ratelimit import Limiter
 from slotweave.plans import placement
+from slotweave.plans import status as shard_status
 from slotweave.workspace import materialize
 
 SCHEMAS = {
@@ -97,6 +98,10 @@ class Engine:
         frames = [placement.owners_frame(self.spark, placement.Ring(s).assign(slots)) for s in (old, new)]
         return placement.plan_moves(*frames)
 
+    def status(self, members: DataFrame, owners: DataFrame, probes: DataFrame, slot_count: int = SLOTS) -> DataFrame:
+        """What the shards of a topology look like from the probes of its nodes; see ``plans.status``."""
+        return shard_status.shard_views(members, owners, shard_status.reported_shards(shard_status.latest_probes(probes)), slot_count)
+
     # ---- helpers
 
     def _reply(self, value, kind: str = "bigint") -> DataFrame:

@@ -83,3 +83,10 @@ def geohash(bits: Column) -> Column:
         return F.concat(*(letter(i) for i in range(10)), F.lit("0"))
 
     return _bound(standard, text)
+
+
+def geohash_bits(text: Column) -> Column:
+    """The 50 bits that the first ten characters of a geohash stand for, at the places they have in 52; null for other text."""
+    letter = lambda i: F.instr(F.lit(_ALPHABET), F.substring(text, i + 1, 1)).cast("bigint") - 1
+    bits = _either([F.shiftleft(letter(i), 47 - 5 * i) for i in range(10)])
+    return F.when(text.rlike(f"^[{_ALPHABET}]{{10}}"), bits)

@@ -86,6 +86,12 @@ def remove_shard(shards: DataFrame, gone: DataFrame) -> DataFrame:
     return shards.join(gone.select("shard").distinct(), "shard", "left_anti")
 
 
+def retire_shards(shards: DataFrame, slots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shards without those that are neither wanted nor own a slot."""
+    kept = wanted.select("shard").union(slots.where("shard <> ''").select("shard")).distinct()
+    return shards.join(kept, "shard", "left_semi")
+
+
 def with_owners(slots: DataFrame, changes: DataFrame) -> DataFrame:
     """The slot table with the owners of ``changes``, one row per slot."""
     new = changes.groupBy("slot").agg(F.max("shard").alias("_new"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slotweave.engine import Engine
 from slotweave.functions import geo
 from slotweave.functions.keyspace import hash_slot, hash_tag
 from slotweave.operators import bloom, cms, geosearch, pubsub, ratelimit, slots, strings
@@ -322,6 +323,57 @@ def validate_topology(spark, folder):
     return placement.validate(owners, placement.remove_shard(shards, shards.where("shard = 'none'")))
 
 
+@query("SELECT 'PONG' AS result")
+def ping(spark, folder):
+    return Engine(spark).execute("PING")
+
+
+@query(f"WITH {_RING} SELECT '{{user:' || c_custkey || '}}:profile' AS key, 'user:' || c_custkey AS tag, own.slot AS slot, own.shard AS shard FROM customer JOIN own ON own.slot = {_crc("'user:' || c_custkey")} % 16384")
+def locate_keys(spark, folder):
+    return Engine(spark).locate(_customer_keys(spark, folder), placement.ring_lookup(spark, SHARDS))
+
+
+@query(f"{_MEMBERS} UNION ALL SELECT 'region-9', 'new'")
+def add_shard(spark, folder):
+    new = spark.createDataFrame([("region-9", "new"), ("region-0", "other"), ("", "x"), ("region-8", None)], "shard STRING, node STRING")
+    return placement.add_shard(_members(spark, folder), new)
+
+
+@query(f"SELECT * FROM ({_MEMBERS}) WHERE shard <> 'region-3'")
+def remove_shard(spark, folder):
+    members = _members(spark, folder)
+    return placement.remove_shard(members, members.where("shard = 'region-3'"))
+
+
+@query(f"SELECT * FROM ({_MEMBERS}) WHERE shard IN ('region-0', 'region-2')")
+def retire_shards(spark, folder):
+    owners = spark.createDataFrame([(0, "region-0"), (1, "")], "slot INT, shard STRING")
+    return placement.retire_shards(_members(spark, folder), owners, spark.createDataFrame([("region-2",)], "shard STRING"))
+
+
+@query(f"SELECT DISTINCT shard FROM ({_MEMBERS}) WHERE node = (SELECT min(n_name) FROM nation)")
+def shards_for_node(spark, folder):
+    members = _members(spark, folder)
+    return status.shards_for_node(members, members.agg(F.min("node")).first()[0])
+
+
+_MOVES = "SELECT cluster_id, delivery_id, m.slot AS slot, m.\"from\" AS \"from\", m.\"to\" AS \"to\", m.state AS state FROM (SELECT cluster_id, delivery_id, unnest(migrations) AS m FROM topology_snapshots WHERE delivery_id IN (SELECT max(delivery_id) FROM topology_snapshots GROUP BY cluster_id))"
+
+
+@query(f"SELECT slot, \"from\", \"to\", CASE WHEN slot % 2 = 0 THEN 'cleanup' ELSE state END AS state FROM (SELECT DISTINCT slot, 'a' AS \"from\", 'b' AS \"to\", 'migrating' AS state FROM ({_MOVES}) WHERE slot IS NOT NULL)")
+def with_migrations(spark, folder):
+    t = table(spark, folder, "topology_snapshots")
+    last = t.join(t.groupBy("cluster_id").agg(F.max("delivery_id").alias("delivery_id")).select("delivery_id"), "delivery_id", "left_semi")
+    slot = last.select(F.explode("migrations").alias("m")).select(F.col("m.slot").alias("slot")).dropna().distinct()
+    markers = slot.select("slot", F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit("migrating").alias("state"))
+    return placement.with_migrations(markers, markers.where("slot % 2 = 0").withColumn("state", F.lit("cleanup")))
+
+
+@query(_GEO + "SELECT CAST(id AS VARCHAR) AS member, CAST((standard >> 2) << 2 AS BIGINT) AS bits FROM bits")
+def geo_hash_decode(spark, folder):
+    return geo_hash(spark, folder).select("member", geo.geohash_bits(F.col("hash")).alias("bits"))
+
+
 @query("SELECT cluster_id, max(version) AS version FROM topology_snapshots GROUP BY cluster_id")
 def install_topology(spark, folder):
     t = table(spark, folder, "topology_snapshots").select("cluster_id", "version", "slot_count")
