@@ -233,7 +233,7 @@ class Engine:
 
     def _zrange(self, args, rev: bool | None = None):
         rev = args.get("rev", "").lower() == "true" if rev is None else rev
-        return zsets.zrange(self._of("zsets", args), _number(args, "start"), _number(args, "stop"), rev).select("rank", "member", "score")
+        return zsets.zrange(self._of("zsets", args), _number(args, "start"), _number(args, "stop"), rev).select("rank", "member", "score").orderBy("rank")
 
     def _zrevrange(self, args):
         return self._zrange(args, rev=True)
@@ -245,7 +245,7 @@ class Engine:
             raise
         except ValueError as error:
             raise CommandError(str(error)) from None
-        return found.select("position", "member", "score")
+        return found.select("position", "member", "score").orderBy("position")
 
     def _zrevrangebyscore(self, args):
         return self._zrangebyscore(args, rev=True)
@@ -262,7 +262,7 @@ class Engine:
     def _zpopmax(self, args, highest: bool = True):
         taken = materialize(zsets.zpop(self._of("zsets", args), _number(args, "count", default=1), highest)[0], "engine-taken")
         self.state["zsets"] = zsets.zrem(self.state["zsets"], taken)
-        return taken.select("rank", "member", "score")
+        return taken.select("rank", "member", "score").orderBy("rank")
 
     def _zpopmin(self, args):
         return self._zpopmax(args, highest=False)
@@ -288,13 +288,13 @@ class Engine:
     _sl_get_rank_by_name = _sl_getrank
 
     def _sl_get_by_rank(self, args):
-        return boards.by_rank(self._of("boards", args), _number(args, "rank")).select("rank", "member", "score", "data")
+        return boards.by_rank(self._of("boards", args), _number(args, "rank")).select("rank", "member", "score", "data").orderBy("rank")
 
     def _sl_get_rank_range(self, args):
-        return boards.rank_range(self._of("boards", args), _number(args, "start"), _number(args, "end")).select("rank", "member", "score", "data")
+        return boards.rank_range(self._of("boards", args), _number(args, "start"), _number(args, "end")).select("rank", "member", "score", "data").orderBy("rank")
 
     def _sl_get_score_range(self, args):
-        return boards.score_range(self._of("boards", args), _number(args, "min"), _number(args, "max")).select("rank", "member", "score", "data")
+        return boards.score_range(self._of("boards", args), _number(args, "min"), _number(args, "max")).select("rank", "member", "score", "data").orderBy("rank")
 
     def _sl_len(self, args):
         return self._of("boards", args).agg(F.count(F.lit(1)).alias("result"))
@@ -482,7 +482,7 @@ class Engine:
         box = pubsub.mailboxes(self.sent.where((F.col("sub_id") == own) & (F.col("idx") > done)))
         read = materialize(pubsub.poll(box, most=most), "engine-polled")
         self.polled[own] = read.agg(F.max("idx")).first()[0] if not read.isEmpty() else done
-        return read.select("seq", "kind", "channel", "pattern", "payload")
+        return read.select("seq", "kind", "channel", "pattern", "payload").orderBy("seq")
 
     def _pubsub_channels(self, args):
         return pubsub.channels(self.topics)
