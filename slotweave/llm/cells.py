@@ -79,11 +79,18 @@ def _percent_cells(text: str) -> list[tuple[str, str]]:
 
 
 def _script_cells(text: str) -> list[tuple[str, str]]:
-    """Cells stand apart by blank lines; a block of comments that follows code or output is markdown."""
+    """Cells stand apart by blank lines; a block of comments that follows code or output is markdown.
+
+    A mark and its code are a blank line apart, so an empty block behind a mark (three blank lines) is an empty code cell.
+    With two blank lines the code itself begins with one, or is written as nbconvert does.
+    """
     cells, kind = [], MARKDOWN
     for block in re.split(r"\n[ \t]*\n", text):
         block = block.strip("\n")
-        if not block:
+        if not block.strip():
+            if kind == CODE:
+                cells.append((CODE, ""))
+                kind = MARKDOWN
             continue
         first, _, rest = block.partition("\n")
         if _SCRIPT.match(first):

@@ -21,6 +21,14 @@ def test_cells_of_each_layout():
         cells.read_cells(text)
 
 
+def test_empty_code_cell_of_a_script():
+    for gap in ("\n\n\n\n", "\n\n \n\n", "\n\n\n\n\n"):
+        assert cells.read_cells(f"# In[1]:{gap}# Dear reader\n\n# In[2]:\n\n# x\n")[1] == [("code", ""), ("markdown", "Dear reader"), ("code", "# x")]
+    assert cells.read_cells("# In[1]:\n\n\n\n# In[2]:\n\n# x\n\n# In[3]:\n\n\n")[1] == [("code", ""), ("code", "# x"), ("code", "")]
+    for gap in ("\n\n", "\n\n\n"):
+        assert cells.read_cells(f"# In[1]:{gap}# Your text goes here.\n")[1][0][0] == "code"
+
+
 def _full(plan, capacity):
     return sum(repeats * (capacity - sum(n * length for length, n in filling.items())) for repeats, filling in plan)
 
@@ -154,6 +162,12 @@ def test_residue_cases(spark):
     assert _flagged(spark, []) == set()
 
 
+def test_residue_behind_an_empty_code_cell(spark):
+    texts = ["# In[1]:\n\n\n\n# Please enable JavaScript to view this notebook.\n", "# In[1]:\n\n# Please enable JavaScript to view this notebook.\n"]
+    filler = ["Ordinary notebook text about rows %d." % i for i in range(30)]
+    assert _flagged(spark, texts + filler) == {0}
+
+
 def test_terms():
     assert residue.terms("Project ${X} by {{ cookiecutter.name }}. 404") == ["project", "§", "by", "§"]
     assert residue.terms("TODO: add license; TBD (x); __NAME__ __init") == ["§", "§", "§", "init"]
