@@ -75,7 +75,7 @@ class Engine:
         self.topics = spark.createDataFrame([], "sub_id STRING, kind STRING, topic STRING")
         self.sent = spark.createDataFrame([], "idx BIGINT, sub_id STRING, kind STRING, channel STRING, pattern STRING, payload STRING")
         self.subscribers: list[str] = []
-        self.polled: dict[str, int] = {}
+        self.polled: dict[str, tuple] = {}
         self.published = 0
 
     def execute(self, cmd: str, args: dict[str, str] | None = None) -> DataFrame:
@@ -478,10 +478,15 @@ class Engine:
 
     def _poll(self, args):
         own, most = _text(args, "id"), _number(args, "max", default=64)
-        done = self.polled.get(own, -1)
-        box = pubsub.mailboxes(self.sent.where((F.col("sub_id") == own) & (F.col("idx") > done)))
-        read = materialize(pubsub.poll(box, most=most), "engine-polled")
-        self.polled[own] = read.agg(F.max("idx")).first()[0] if not read.isEmpty() else done
+        box = self.sent.where(F.col("sub_id") == own)
+        # the copies of one publish share its idx, so a page may end between them
+        place = F.struct("idx", "kind", "channel", F.coalesce("pattern", F.lit("")).alias("pattern"))
+        if own in self.polled:
+            idx, *rest = self.polled[own]
+            box = box.where(place > F.struct(F.lit(idx).cast("bigint").alias("idx"), *(F.lit(v).alias(n) for n, v in zip(("kind", "channel", "pattern"), rest))))
+        read = materialize(pubsub.poll(pubsub.mailboxes(box), most=most), "engine-polled")
+        if (last := read.agg(F.max(place)).first()[0]) is not None:
+            self.polled[own] = tuple(last)
         return read.select("seq", "kind", "channel", "pattern", "payload").orderBy("seq")
 
     def _pubsub_channels(self, args):

@@ -290,6 +290,21 @@ def test_engine(spark):
     assert all(hasattr(e, f"_{c.lower()}") for c in COMMANDS)
 
 
+def test_polls_within_a_publish_lose_no_copy(spark):
+    e = Engine(spark)
+    for cmd, args in (("SUBSCRIBE", {"channel": "news"}), ("PSUBSCRIBE", {"pattern": "n*", "id": "sub-1"}), ("PSUBSCRIBE", {"pattern": "*s", "id": "sub-1"})):
+        e.execute(cmd, args)
+    poll = lambda **args: [(r.payload, r.kind, r.pattern) for r in e.execute("POLL", {"id": "sub-1", **args}).collect()]
+    copies = lambda m: [(m, "message", None), (m, "pmessage", "*s"), (m, "pmessage", "n*")]
+    e.execute("PUBLISH", {"channel": "news", "message": "a"})
+    assert [poll(max="1") for _ in range(2)] == [[c] for c in copies("a")[:2]]
+    e.execute("PUBLISH", {"channel": "news", "message": "b"})
+    assert poll(max="2") == [copies("a")[2], copies("b")[0]] and poll(max="3") == copies("b")[1:] and poll() == []
+    sent = [(2 + i, "sub-1", kind, "news", pattern, m) for i in range(22) for m, kind, pattern in copies(str(i))]  # as after 22 publishes
+    e.sent = spark.createDataFrame(sent, e.sent.schema)
+    assert poll() + poll() == [c for i in range(22) for c in copies(str(i))] and poll() == []
+
+
 def test_streams_equal_batch(spark, data):
     from slotweave.queries import stores, streams
 
