@@ -148,6 +148,10 @@ def _slots(value) -> list:
     return [] if value is None else [value]
 
 
+def _array(value) -> list:
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
 def _leaf(value) -> str:
     if isinstance(value, float) and value.is_integer():
         return str(int(value))
@@ -155,7 +159,7 @@ def _leaf(value) -> str:
 
 
 def visit_report(body: str):
-    """Batches and their slots in one rebalance report, as nodes of any release wrote it.
+    """Batches and their slots, skipped keys and attempts in one rebalance report, as nodes of any release wrote it.
 
     'batches' may be an array or a lone object, wrapped or not, or JSON within a string; 'slots' may hold numbers,
     texts, nulls or be one comma-separated text.  A body that is not complete JSON yields nothing.
@@ -174,22 +178,59 @@ def visit_report(body: str):
         yield "batch", (i,), {"leaves": len(leaves), **text}
         for j, slot in leaves:
             yield "batch_slot", (i, j), {"value": slot}
+        for j, key in enumerate(_array(own.get("skipped_keys"))):
+            if key is not None:
+                yield "batch_skipped_key", (i, j), {"value": _leaf(key)}
+        for j, attempt in enumerate(_array(own.get("attempts"))):
+            if attempt is not None:
+                fields = attempt if isinstance(attempt, dict) else {}
+                yield "batch_attempt", (i, j), {name: None if fields.get(name) is None else str(fields[name]) for name in ("no", "took")}
 
 
 PROBE_NODES = Node("shard", "shards", tuple((n, n) for n in ("shard_id", "role", "leader_id", "term", "commit_index", "slots")), (Node("member", "members"), Node("learner", "learners")))
 DUMP_NODES = Node("zset", "zsets", (("key", "key"),), (Node("zset_member", "members", (("member", "member"), ("score", "score"))),))
 
 
+# The flat tables: the names of the positions in pk, and the fields.
+TABLES = {
+    "batch": (("position",), "from STRING, to STRING, keys_moved STRING, error STRING"),
+    "batch_slot": (("position", "slot_no"), "value STRING"),
+    "batch_skipped_key": (("position", "key_no"), "value STRING"),
+    "batch_attempt": (("position", "attempt_no"), "no STRING, took STRING"),
+    "zset": (("position",), "key STRING"),
+    "zset_member": (("position", "member_no"), "member STRING, score DOUBLE"),
+    "shard": (("position",), "shard_id STRING, role STRING, leader_id STRING, term BIGINT, commit_index BIGINT, slots INT"),
+    "member": (("position", "member_no"), "value STRING"),
+    "learner": (("position", "learner_no"), "value STRING"),
+}
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    return emit_text(reports, "report_id", "body", visit_report)
+
+
+def dump_rows(dumps: DataFrame) -> DataFrame:
+    return emit_typed(dumps, "dump_id", [DUMP_NODES])
+
+
+def probe_rows(probes: DataFrame) -> DataFrame:
+    return emit_typed(probes, "probe_id", [PROBE_NODES])
+
+
+def flat_table(written: Emission, tag: str, root: str) -> DataFrame:
+    """The flat table of a tag: the id of the record, the positions that lead to the row, its fields.  Rows that deliveries repeat come once."""
+    positions, schema = TABLES[tag]
+    rows = written.table(tag, schema).distinct()
+    return rows.select(F.col("root").alias(root), *(F.get("pk", F.lit(i)).alias(name) for i, name in enumerate(positions)), *rows.columns[3:])
+
+
 def nested_elements(reports: DataFrame, dumps: DataFrame, probes: DataFrame) -> DataFrame:
     """kind, parent_id, child_no, leaf_no, item: the slots of batches, the members of sorted sets, the learners of shard states.
 
     A batch or sorted set without any leaf that is not null gives one row with leaf_no -1 and an empty item.  Rows
-    that deliveries repeat come once.
+    that deliveries repeat come once.  All tables of ``TABLES`` are written in the same pass.
     """
-    learners = Node("shard", "shards", (), (Node("learner", "learners"),), emit=False)
-    written = write_tagged(
-        emit_text(reports, "report_id", "body", visit_report), emit_typed(dumps, "dump_id", [DUMP_NODES]), emit_typed(probes, "probe_id", [learners])
-    )
+    written = write_tagged(report_rows(reports), dump_rows(dumps), probe_rows(probes))
     at = lambda i: F.get("pk", F.lit(i))
     slots = written.table("batch_slot", "value STRING").select(F.lit("batch_slot").alias("kind"), F.col("root").alias("parent_id"), at(0).alias("child_no"), at(1).alias("leaf_no"), F.col("value").alias("item"))
     bare = written.table("batch", "leaves INT").where("leaves = 0").select(F.lit("batch_slot"), "root", at(0), F.lit(-1), F.lit(""))

@@ -94,6 +94,66 @@ def p2_shard_states(spark, folder):
     return states.select(F.col("root").alias("probe_id"), F.get("pk", F.lit(0)).alias("position"), "shard_id", "role", "leader_id", "term", "commit_index", "slots")
 
 
+_BATCHES = _P2.partition(",\nsl AS")[0]  # the reports read as in p2_found, down to the batches
+_ZSETS = "WITH zs AS (SELECT dump_id, unnest(zsets) AS z, generate_subscripts(zsets, 1) - 1 AS i FROM slot_dumps)"
+
+
+@query(
+    f"""{_BATCHES}
+SELECT DISTINCT report_id, CAST(i AS INT) AS position, json_extract_string(b, '$.from') AS from_shard, json_extract_string(b, '$.to') AS to_shard, TRY_CAST(json_extract_string(b, '$.keys_moved') AS BIGINT) AS keys_moved, json_extract_string(b, '$.error') AS error
+FROM bat WHERE json_type(b) <> 'NULL'"""
+)
+def p2_batches(spark, folder):
+    """The flat table of batches, each with its report and position."""
+    written = nested.write_tagged(nested.report_rows(table(spark, folder, "rebalance_reports")))
+    rows = nested.flat_table(written, "batch", "report_id")
+    return rows.select("report_id", "position", F.col("from").alias("from_shard"), F.col("to").alias("to_shard"), F.expr("try_cast(keys_moved AS BIGINT)").alias("keys_moved"), "error")
+
+
+@query(
+    f"""{_BATCHES},
+el AS (SELECT report_id, i, 'skipped_key' AS kind, unnest(json_extract(b, '$.skipped_keys[*]')) AS e, generate_subscripts(json_extract(b, '$.skipped_keys[*]'), 1) - 1 AS k FROM bat
+  UNION ALL SELECT report_id, i, 'attempt', unnest(json_extract(b, '$.attempts[*]')), generate_subscripts(json_extract(b, '$.attempts[*]'), 1) - 1 FROM bat)
+SELECT DISTINCT kind, report_id, CAST(i AS INT) AS position, CAST(k AS INT) AS element_no, CASE kind WHEN 'skipped_key' THEN trim(json_extract_string(e, '$')) END AS skipped_key,
+  CASE kind WHEN 'attempt' THEN TRY_CAST(json_extract_string(e, '$.no') AS BIGINT) END AS attempt, CASE kind WHEN 'attempt' THEN json_extract_string(e, '$.took') END AS took FROM el WHERE json_type(e) <> 'NULL'"""
+)
+def p2_batch_elements(spark, folder):
+    """The elements of batches other than slots: skipped keys and attempts, each with its report, batch and position."""
+    written = nested.write_tagged(nested.report_rows(table(spark, folder, "rebalance_reports")))
+    keys = nested.flat_table(written, "batch_skipped_key", "report_id")
+    attempts = nested.flat_table(written, "batch_attempt", "report_id")
+    nothing = F.lit(None)
+    return keys.select(F.lit("skipped_key").alias("kind"), "report_id", "position", F.col("key_no").alias("element_no"), F.col("value").alias("skipped_key"), nothing.cast("bigint").alias("attempt"), nothing.cast("string").alias("took")).unionByName(
+        attempts.select(F.lit("attempt").alias("kind"), "report_id", "position", F.col("attempt_no").alias("element_no"), nothing.cast("string").alias("skipped_key"), F.expr("try_cast(no AS BIGINT)").alias("attempt"), "took")
+    )
+
+
+@query(f"{_ZSETS} SELECT DISTINCT dump_id, CAST(i AS INT) AS position, z.key AS key FROM zs WHERE z IS NOT NULL")
+def p2_zsets(spark, folder):
+    """The flat table of sorted sets, each with its dump and position."""
+    return nested.flat_table(nested.write_tagged(nested.dump_rows(table(spark, folder, "slot_dumps"))), "zset", "dump_id")
+
+
+@query(
+    f"""{_ZSETS}, zm AS (SELECT dump_id, i, unnest(z.members) AS m, generate_subscripts(z.members, 1) - 1 AS k FROM zs WHERE z IS NOT NULL)
+SELECT DISTINCT dump_id, CAST(i AS INT) AS position, CAST(k AS INT) AS member_no, m.member AS member, m.score AS score FROM zm WHERE m IS NOT NULL"""
+)
+def p2_zset_members(spark, folder):
+    """The members of sorted sets with their scores, each with its dump, set and position."""
+    return nested.flat_table(nested.write_tagged(nested.dump_rows(table(spark, folder, "slot_dumps"))), "zset_member", "dump_id")
+
+
+@query(
+    """WITH ps AS (SELECT probe_id, unnest(shards) AS s, generate_subscripts(shards, 1) - 1 AS i FROM node_probes),
+pm AS (SELECT probe_id, i, unnest(s.members) AS n, generate_subscripts(s.members, 1) - 1 AS k FROM ps WHERE s IS NOT NULL)
+SELECT DISTINCT probe_id, CAST(i AS INT) AS position, CAST(k AS INT) AS member_no, n AS value FROM pm WHERE n IS NOT NULL"""
+)
+def p2_shard_members(spark, folder):
+    """The members of shard states, each with its probe, shard state and position."""
+    shard = nested.Node("shard", "shards", (), (nested.Node("member", "members"),), emit=False)
+    return nested.flat_table(nested.write_tagged(nested.emit_typed(table(spark, folder, "node_probes"), "probe_id", [shard])), "member", "probe_id")
+
+
 @query(_P3)
 def p3_found(spark, folder):
     return radix.slow_days(table(spark, folder, "node_probes"))

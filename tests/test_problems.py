@@ -112,6 +112,28 @@ def test_nested_typed(spark, rows):
     assert rows(written.table("zset_member", "member STRING, score DOUBLE")) == [(1, [0, 0], [0], "m", 1.5), (1, [0, 2], [0], "n", None), (1, [3, 0], [3], "", inf)]
 
 
+def test_nested_whole_tables(spark, rows):
+    body = '{"batches": [null, {"from": "a", "to": "b", "keys_moved": 7, "slots": [1], "skipped_keys": ["bf:1", null, "c"], "attempts": [{"no": 1, "took": "2s"}, null, {"no": "2"}]}]}'
+    reports = spark.createDataFrame([(1, body), (1, body)], "report_id BIGINT, body STRING")
+    dumps = spark.createDataFrame([(2, [("a", [("m", 1.5), None])])], "dump_id BIGINT, zsets ARRAY<STRUCT<key: STRING, members: ARRAY<STRUCT<member: STRING, score: DOUBLE>>>>")
+    state = ("s", "leader", "n", 3, 9, 4, ["n", None, "o"], ["p"])
+    probes = spark.createDataFrame([(3, [None, state])], "probe_id BIGINT, shards ARRAY<STRUCT<shard_id: STRING, role: STRING, leader_id: STRING, term: BIGINT, commit_index: BIGINT, slots: INT, members: ARRAY<STRING>, learners: ARRAY<STRING>>>")
+    written = nested.write_tagged(nested.report_rows(reports), nested.dump_rows(dumps), nested.probe_rows(probes))
+    want = {
+        "batch": [(1, 1, "a", "b", "7", None)],
+        "batch_slot": [(1, 1, 0, "1")],
+        "batch_skipped_key": [(1, 1, 0, "bf:1"), (1, 1, 2, "c")],
+        "batch_attempt": [(1, 1, 0, "1", "2s"), (1, 1, 2, "2", None)],
+        "zset": [(2, 0, "a")],
+        "zset_member": [(2, 0, 0, "m", 1.5)],
+        "shard": [(3, 1, "s", "leader", "n", 3, 9, 4)],
+        "member": [(3, 1, 0, "n"), (3, 1, 2, "o")],
+        "learner": [(3, 1, 0, "p")],
+    }
+    assert set(want) == set(nested.TABLES) and {tag: rows(nested.flat_table(written, tag, "root")) for tag in want} == want
+    assert rows(nested.nested_elements(reports, dumps, probes)) == [("batch_slot", 1, 1, 0, "1"), ("learner", 3, 1, 0, "p"), ("zset_member", 2, 0, 0, "m")]
+
+
 def test_nested_text_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None), (None, '{"batches": {}}'), (2, "")], "id BIGINT, body STRING")
     assert nested.emit_text(df, "id", "body", nested.visit_report).count() == 0
