@@ -8,7 +8,7 @@ again, with only the columns that differ somewhere, and joined key by key.
 from __future__ import annotations
 
 import json
-from decimal import Decimal
+from decimal import MAX_EMAX, MAX_PREC, MIN_EMIN, Context, Decimal, Inexact
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from slotweave.workspace import materialize
 
 BUCKET = 32  # neighbouring log indexes in a bucket
+_EXACT = Context(prec=MAX_PREC, Emax=MAX_EMAX, Emin=MIN_EMIN, traps=[Inexact])  # nothing is rounded
 
 
 def _no_constant(name: str):
@@ -28,7 +29,7 @@ def _number(text: str) -> str:
     value = Decimal(text)
     if not value.is_finite():
         raise ValueError(text)
-    value = value.normalize()
+    value = value.normalize(_EXACT)
     return "\x00" + (str(value) if value else "0")
 
 

@@ -178,6 +178,13 @@ def test_radix_empty(spark):
     assert radix.radix_percentiles(df, "v", ["g"], {"all": ["g"]}, [50])["all"].count() == 0
 
 
+def test_canonical_json_of_long_numbers():
+    canonical, long = copy_differences.canonical, b"1" * 40
+    assert canonical(long + b"1") != canonical(long + b"2") and canonical(b"0." + long + b"1") != canonical(b"0." + long + b"2")
+    assert canonical(b"1e-9999999") != canonical(b"0") and canonical(b"1e9999999") == canonical(b"10E9999998")
+    assert canonical(long) == canonical(long + b".000") == canonical(b"0." + long + b"e40")
+
+
 def test_canonical_json():
     same = [b'{"a": 1, "b": [1.0, "x"]}', b'{ "b":[1e0,"\\u0078"],"a":1.00 }']
     assert copy_differences.canonical(same[0]) == copy_differences.canonical(same[1])
