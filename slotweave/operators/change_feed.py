@@ -9,7 +9,6 @@ are written beside the current version and published by one rename.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slotweave.functions.jsontext import parse, text_of
 from slotweave.workspace import fresh_path
 
 STATE = "shard STRING, store STRING, kv_key STRING, member STRING, seq BIGINT, live BOOLEAN, value STRING"
@@ -49,8 +49,8 @@ def upsert(changes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def command(data: bytes | None) -> tuple[str, dict] | None:
     """(cmd, args) of a JSON command, else None."""
     try:
-        value = json.loads(data) if data else None
-    except (ValueError, RecursionError):
+        value = parse(data.decode("utf-8")) if data else None
+    except ValueError:
         return None
     if not isinstance(value, dict) or not isinstance(value.get("cmd"), str):
         return None
@@ -59,7 +59,7 @@ def command(data: bytes | None) -> tuple[str, dict] | None:
 
 
 def _text(value) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value)
+    return value if isinstance(value, str) or value is None else text_of(value)
 
 
 def keyed_changes(cmd: str, args: dict) -> Iterator[tuple[str, str, str, bool, str | None]]:

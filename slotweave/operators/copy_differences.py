@@ -7,30 +7,15 @@ again, with only the columns that differ somewhere, and joined key by key.
 
 from __future__ import annotations
 
-import json
-from decimal import MAX_EMAX, MAX_PREC, MIN_EMIN, Context, Decimal, Inexact
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotweave.functions.jsontext import canonical_text
 from slotweave.workspace import materialize
 
 BUCKET = 32  # neighbouring log indexes in a bucket
-_EXACT = Context(prec=MAX_PREC, Emax=MAX_EMAX, Emin=MIN_EMIN, traps=[Inexact])  # nothing is rounded
-
-
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
-def _number(text: str) -> str:
-    value = Decimal(text)
-    if not value.is_finite():
-        raise ValueError(text)
-    value = value.normalize(_EXACT)
-    return "\x00" + (str(value) if value else "0")
 
 
 def canonical(data: bytes | None) -> str | None:
@@ -41,9 +26,8 @@ def canonical(data: bytes | None) -> str | None:
     if data is None:
         return None
     try:
-        value = json.loads(data.decode("utf-8"), parse_int=_number, parse_float=_number, parse_constant=_no_constant)
-        return "j" + json.dumps(value, sort_keys=True, separators=(",", ":"))
-    except (ValueError, ArithmeticError, RecursionError):
+        return "j" + canonical_text(data.decode("utf-8"))
+    except (ValueError, ArithmeticError):
         return "b" + data.hex()
 
 
@@ -82,16 +66,20 @@ def unequal_buckets(left: DataFrame, right: DataFrame, bucket: list[str], column
 FIELDS = ["term", "cmd", "data"]
 
 
-def _entries(log: DataFrame, commits: DataFrame, fields: list[str]) -> DataFrame:
-    """The compared entries of a copy, each (shard, idx) once: of repeated rows that with the highest term, then the latest."""
-    rows = log.where("shard IS NOT NULL AND idx IS NOT NULL").join(commits, "shard").where("idx <= upto")
-    rows = rows.select("shard", "idx", F.expr(f"idx div {BUCKET}").alias("bucket"), "term", "ts", *(["cmd"] if "cmd" in fields else []), *([canonical_json("data").alias("data")] if "data" in fields else []))
-    return rows
-
+def _digests(log: DataFrame, commits: DataFrame) -> DataFrame:
+    """shard, bucket, idx, term and two 64-bit hashes each of cmd and data, for the compared entries, each once.
 
-def _once(rows: DataFrame, fields: list[str]) -> DataFrame:
-    rest = F.struct(*dict.fromkeys(["term", "ts", *fields]))
-    return rows.groupBy("shard", "bucket", "idx").agg(F.max(rest).alias("_row")).select("shard", "bucket", "idx", *(F.col(f"_row.{c}").alias(c) for c in fields))
+    Of repeated rows that with the highest term counts, then the latest, then that with the greatest hashes.  The
+    texts become hashes before the first shuffle, and are read and parsed once.
+    """
+    rows = log.where("shard IS NOT NULL AND idx IS NOT NULL").join(commits, "shard").where("idx <= upto")
+    rows = rows.select("shard", "idx", F.floor(F.col("idx") / BUCKET).cast("bigint").alias("bucket"), "term", "ts", "cmd", canonical_json("data").alias("data"))
+    hashes = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), c)).alias(f"{c}{seed}") for c in ("cmd", "data") for seed in (7, 8)]
+    names = ["term", "ts", "cmd7", "cmd8", "data7", "data8"]
+    rows = rows.select("shard", "bucket", "idx", "term", "ts", *hashes)
+    once = rows.groupBy("shard", "bucket", "idx").agg(F.max(F.struct(*names)).alias("_row"))
+    pair = lambda c: F.struct(F.col(f"_row.{c}7").alias("a"), F.col(f"_row.{c}8").alias("b"))
+    return once.select("shard", "bucket", "idx", "_row.term", *(F.when(F.col(f"_row.{c}7").isNotNull(), pair(c)).alias(c) for c in ("cmd", "data")))
 
 
 def commit_indexes(status: DataFrame) -> DataFrame:
@@ -114,28 +102,13 @@ def log_differences(leader: DataFrame, follower: DataFrame, status: DataFrame) -
     differing = commits.where(~F.col("leader").eqNullSafe(F.col("follower"))).select("shard", F.lit(0).cast("bigint").alias("idx"), F.lit("commit_index").alias("field"))
     upto = commits.where("leader IS NOT NULL AND follower IS NOT NULL").select("shard", F.least("leader", "follower").alias("upto"))
 
-    def matrix(log: DataFrame) -> DataFrame:
-        rows = _entries(log, upto, FIELDS)
-        # the texts become hashes before the first shuffle
-        hashed = rows.select("shard", "bucket", "idx", "term", "ts", *(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(7), c)).alias(c) for c in ("cmd", "data")))
-        return checksum_matrix(_once(hashed, FIELDS), ["shard", "bucket"], ["shard", "idx"], FIELDS)
-
-    flags = materialize(unequal_buckets(matrix(leader), matrix(follower), ["shard", "bucket"], FIELDS), "copy-buckets")
-    anywhere = flags.agg(*(F.coalesce(F.max(f"differs_{c}"), F.lit(False)) for c in FIELDS)).first()
-    wanted = [c for c, there in zip(FIELDS, anywhere) if there]
-
-    def reread(log: DataFrame) -> DataFrame:
-        keyed = log.withColumn("bucket", F.expr(f"idx div {BUCKET}")).join(flags.select("shard", "bucket"), ["shard", "bucket"], "left_semi").drop("bucket")
-        hashed = [c for c in ("cmd", "data") if c in wanted]
-        rows = _entries(keyed, upto, wanted)
-        order = [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(7), c)).alias(f"_{c}") for c in hashed]
-        picked = F.struct("term", "ts", *order, *hashed)  # of repeated rows the same one as in the matrix
-        return rows.groupBy("shard", "bucket", "idx").agg(F.max(picked).alias("_row")).select("shard", "bucket", "idx", *(F.col(f"_row.{c}").alias(c) for c in wanted))
-
-    a, b = reread(leader).withColumn("here", F.lit(True)).alias("a"), reread(follower).withColumn("here", F.lit(True)).alias("b")
-    joined = a.join(b, ["shard", "bucket", "idx"], "full").join(flags, ["shard", "bucket"])
+    sides = [materialize(_digests(log, upto), "copy-entries") for log in (leader, follower)]
+    matrices = [checksum_matrix(side, ["shard", "bucket"], ["shard", "idx"], FIELDS) for side in sides]
+    flags = materialize(unequal_buckets(*matrices, ["shard", "bucket"], FIELDS), "copy-buckets")
+    a, b = (side.join(flags.select("shard", "bucket"), ["shard", "bucket"], "left_semi").withColumn("here", F.lit(True)) for side in sides)
+    joined = a.alias("a").join(b.alias("b"), ["shard", "bucket", "idx"], "full").join(flags, ["shard", "bucket"])
     both = F.col("a.here").isNotNull() & F.col("b.here").isNotNull()
     fields = [F.when(F.col("a.here").isNull(), F.lit("missing_in_leader")), F.when(F.col("b.here").isNull(), F.lit("missing_in_follower"))]
-    fields += [F.when(both & F.col(f"differs_{c}") & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in wanted]
+    fields += [F.when(both & F.col(f"differs_{c}") & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in FIELDS]
     found = joined.select("shard", "idx", F.explode(F.array(*fields)).alias("field")).where("field IS NOT NULL")
     return found.unionByName(differing)

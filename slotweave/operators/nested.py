@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotweave.functions.jsontext import parse, text_of
 from slotweave.workspace import fresh_path
 
 EMITTED = "tag STRING, root BIGINT, pk ARRAY<INT>, parent ARRAY<INT>, payload STRING"
@@ -123,20 +124,26 @@ def write_tagged(*emitted: DataFrame) -> Emission:
 # ---------------------------------------------------------------- rebalance reports
 
 
-def _report(value, depth: int = 0):
-    """The report within its wrappers: JSON written as a JSON string, and the fields 'report' and 'result'."""
-    if isinstance(value, str) and depth < 4:
-        try:
-            return _report(json.loads(value), depth + 1)
-        except ValueError:
-            return None
-    if not isinstance(value, dict) or depth >= 8:
-        return None
-    if "batches" not in value:
-        for wrapper in ("report", "result"):
-            if (inner := _report(value.get(wrapper), depth + 1)) is not None:
-                return inner
-    return value
+def _report(body: str) -> dict | None:
+    """The report within its wrappers: JSON written as a JSON string, and the fields 'report' and 'result'.
+
+    Wrappers may be nested to any depth; the first object with 'batches' counts, in depth-first order, else the
+    outermost object.  ValueError if the body itself is no complete JSON.
+    """
+    outermost, todo = None, [parse(body)]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, str):
+            try:
+                todo.append(parse(value))
+            except ValueError:
+                pass
+        elif isinstance(value, dict):
+            if "batches" in value:
+                return value
+            outermost = value if outermost is None else outermost
+            todo += [value.get("result"), value.get("report")]
+    return outermost
 
 
 def _slots(value) -> list:
@@ -155,7 +162,7 @@ def _array(value) -> list:
 def _leaf(value) -> str:
     if isinstance(value, float) and value.is_integer():
         return str(int(value))
-    return value.strip() if isinstance(value, str) else json.dumps(value)
+    return value.strip() if isinstance(value, str) else text_of(value)
 
 
 def visit_report(body: str):
@@ -165,8 +172,8 @@ def visit_report(body: str):
     texts, nulls or be one comma-separated text.  A body that is not complete JSON yields nothing.
     """
     try:
-        report = _report(json.loads(body))
-    except (ValueError, RecursionError):
+        report = _report(body)
+    except ValueError:
         return
     batches = (report or {}).get("batches")
     for i, batch in enumerate(batches if isinstance(batches, list) else [batches]):

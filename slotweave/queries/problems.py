@@ -13,14 +13,13 @@ query = registry.add
 
 _P1 = """WITH snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, version ORDER BY delivery_id) AS r FROM topology_snapshots
   WHERE len(slots) = slot_count AND cluster_id IS NOT NULL AND version IS NOT NULL) WHERE r = 1),
-pair AS (SELECT cluster_id, version AS a, lead(version) OVER (PARTITION BY cluster_id ORDER BY version) AS b FROM snap),
-rec AS (SELECT cluster_id, version, 'slot' AS record, CAST(i - 1 AS VARCHAR) AS item, owner AS value FROM (SELECT cluster_id, version, unnest(slots) AS owner, generate_subscripts(slots, 1) AS i FROM snap) WHERE owner <> ''
-  UNION ALL SELECT cluster_id, version, 'shard', k, CAST(list_sort(map_entries(v.members)) AS VARCHAR) FROM (SELECT cluster_id, version, unnest(map_keys(shards)) AS k, unnest(map_values(shards)) AS v FROM snap)),
-o AS (SELECT p.cluster_id, a, b, record, item, value FROM pair p JOIN rec ON rec.cluster_id = p.cluster_id AND rec.version = a WHERE b IS NOT NULL),
-n AS (SELECT p.cluster_id, a, b, record, item, value FROM pair p JOIN rec ON rec.cluster_id = p.cluster_id AND rec.version = b)
-SELECT coalesce(o.cluster_id, n.cluster_id) AS cluster_id, coalesce(o.a, n.a) AS from_version, coalesce(o.b, n.b) AS to_version, coalesce(o.record, n.record) AS record, coalesce(o.item, n.item) AS item,
-  CASE WHEN o.item IS NULL THEN 'added' WHEN n.item IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM o FULL JOIN n ON o.cluster_id = n.cluster_id AND o.a = n.a AND o.record = n.record AND o.item = n.item WHERE o.value IS DISTINCT FROM n.value"""
+pair AS (SELECT cluster_id, version AS a, lead(version) OVER w AS b, slots AS old, lead(slots) OVER w AS new, shards AS old_shards, lead(shards) OVER w AS new_shards FROM snap WINDOW w AS (PARTITION BY cluster_id ORDER BY version)),
+twin AS (SELECT * FROM pair WHERE b IS NOT NULL),
+slot AS (SELECT cluster_id, a, b, unnest(list_filter(list_transform(list_zip(old, new), lambda z, i: {'i': i - 1, 'o': coalesce(z[1], ''), 'n': coalesce(z[2], '')}), lambda s: s.o <> s.n)) AS s FROM twin),
+key AS (SELECT DISTINCT cluster_id, a, b, unnest(list_concat(map_keys(old_shards), map_keys(new_shards))) AS k, old_shards, new_shards FROM twin),
+shard AS (SELECT *, map_contains(old_shards, k) AS had, map_contains(new_shards, k) AS has, CAST(list_sort(map_entries(old_shards[k].members)) AS VARCHAR) AS o, CAST(list_sort(map_entries(new_shards[k].members)) AS VARCHAR) AS n FROM key)
+SELECT cluster_id, a AS from_version, b AS to_version, 'slot' AS record, CAST(s.i AS VARCHAR) AS item, CASE WHEN s.o = '' THEN 'added' WHEN s.n = '' THEN 'removed' ELSE 'changed' END AS change FROM slot
+UNION ALL SELECT cluster_id, a, b, 'shard', k, CASE WHEN NOT had THEN 'added' WHEN NOT has THEN 'removed' ELSE 'changed' END FROM shard WHERE NOT had OR NOT has OR o IS DISTINCT FROM n"""
 
 _P2 = """WITH body AS (SELECT report_id, CAST(body AS JSON) AS j FROM rebalance_reports WHERE json_valid(body)),
 plain AS (SELECT report_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM body),
