@@ -17,33 +17,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions.jsontext import parse, text_of
-from slotweave.workspace import fresh_path
+from slotweave.workspace import fresh_path, materialize
 
 STATE = "shard STRING, store STRING, kv_key STRING, member STRING, seq BIGINT, live BOOLEAN, value STRING"
 _STATE = pa.schema([("shard", pa.string()), ("store", pa.string()), ("kv_key", pa.string()), ("member", pa.string()), ("seq", pa.int64()), ("live", pa.bool_()), ("value", pa.string())])
 _CREATE = """CREATE TABLE state(shard VARCHAR, store VARCHAR, kv_key VARCHAR, member VARCHAR, seq BIGINT, live BOOLEAN, value VARCHAR,
              PRIMARY KEY (shard, store, kv_key, member))"""
 _UPSERT = """INSERT INTO state
-             SELECT shard, store, kv_key, member, max(seq), arg_max(live, seq), arg_max(coalesce(value, ''), seq) FROM batch GROUP BY ALL
+             SELECT shard, store, kv_key, member, max(seq), arg_max(live, seq), arg_max(coalesce(value, ''), seq) FROM batch GROUP BY shard, store, kv_key, member
              ON CONFLICT DO UPDATE SET seq = excluded.seq, live = excluded.live, value = excluded.value WHERE excluded.seq > state.seq"""
-_LIMIT = "400MB"  # of a bucket's table; more buckets make smaller tables
+BUCKET_BYTES = 24 << 20  # of the changes in a bucket: their number grows with the feed, their size doesn't
+_MEMORY = "480MB"  # of a bucket's table; nothing is written to an executor's own disk
+BROADCAST_ROWS = 1_000_000  # of (shard, term) pairs; more are joined by a shuffle
+_SALTS = 32
 
 
-def upsert(changes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Upsert batches of changes into one DuckDB table and give its rows back, tombstones included."""
+def _rows(bucket) -> Iterator[pa.RecordBatch]:
+    for batch in bucket.sql("SELECT * FROM state").to_arrow_reader(50_000):
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(n).cast(_STATE.field(n).type) for n in _STATE.names], schema=_STATE)
+
+
+def upsert(changes: Iterator[pa.RecordBatch], flush: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Upsert batches of changes into one DuckDB table and give its rows back, tombstones included.
+
+    With ``flush`` the table is given back and emptied whenever that many bytes went into it: as upserts are
+    associative, a part of the input may be reduced in several steps.
+    """
     import duckdb
 
-    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": _LIMIT}) as bucket:
+    with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": _MEMORY, "temp_directory": ""}) as bucket:
         bucket.execute(_CREATE)
+        held = 0
         for batch in changes:
             if batch.num_rows:
                 bucket.register("batch", pa.Table.from_batches([batch]).select(_STATE.names))
-                bucket.execute(_UPSERT.replace("GROUP BY ALL", "GROUP BY shard, store, kv_key, member"))
+                bucket.execute(_UPSERT)
                 bucket.unregister("batch")
-        reader = bucket.sql("SELECT * FROM state").to_arrow_reader(50_000)
-        for batch in reader:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(n).cast(_STATE.field(n).type) for n in _STATE.names], schema=_STATE)
+                held += batch.nbytes
+            if flush and held > flush:
+                yield from _rows(bucket)
+                bucket.execute("DROP TABLE state")
+                bucket.execute(_CREATE)
+                held = 0
+        yield from _rows(bucket)
 
 
 def command(data: bytes | None) -> tuple[str, dict] | None:
@@ -102,10 +119,27 @@ def in_force(log: DataFrame) -> DataFrame:
     on.  That table has a row per shard and term, not per entry.  Rows with a null shard, idx or term are no entries.
     """
     rows = log.where("shard IS NOT NULL AND idx IS NOT NULL AND term IS NOT NULL")
-    starts = rows.groupBy("shard", "term").agg(F.min("idx").alias("_start"))
+    spans = rows.groupBy("shard", "term").agg(F.min("idx").alias("_start"), F.max("idx").alias("_last"))
     later = Window.partitionBy("shard").orderBy(F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = starts.select("shard", "term", F.min("_start").over(later).alias("_end"))
-    return rows.join(ends, ["shard", "term"]).where("_end IS NULL OR idx < _end").drop("_end")
+    ends = spans.select("shard", "term", "_last", F.min("_start").over(later).alias("_end"))
+    # only the terms that lost entries; the log itself isn't shuffled as long as their table is small
+    lost = materialize(ends.where("_last >= _end").select("shard", "term", "_end"), "lost-terms")
+    if lost.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(lost), ["shard", "term"], "left")
+    else:
+        salted = lost.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(_SALTS)).cast("int")).join(salted, ["shard", "term", "_salt"], "left").drop("_salt")
+    return joined.where("_end IS NULL OR idx < _end").drop("_end")
+
+
+def _in_buckets(reduced: DataFrame, buckets: int | None) -> DataFrame:
+    """Upsert the reduced changes in buckets of keys, as many as their bytes need."""
+    reduced = materialize(reduced, "reduced-changes")
+    if buckets is None:
+        length = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
+        size = reduced.agg(F.sum(F.lit(32) + sum((length(c) for c in ("shard", "kv_key", "member", "value")), F.lit(0)))).first()[0] or 0
+        buckets = max(int(reduced.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return reduced.repartition(buckets, "shard", "store", "kv_key", "member").mapInArrow(upsert, STATE)
 
 
 def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -113,10 +147,7 @@ def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Of changes with the same sequence one counts, which the feed promises are equal.  A null value is kept as ''.
     """
-    spark = changes.sparkSession
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    reduced = changes.mapInArrow(upsert, STATE)
-    return reduced.repartition(buckets, "shard", "store", "kv_key", "member").mapInArrow(upsert, STATE)
+    return _in_buckets(changes.mapInArrow(lambda batches: upsert(batches, BUCKET_BYTES), STATE), buckets)
 
 
 def replay(log: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -126,10 +157,7 @@ def replay(log: DataFrame, buckets: int | None = None) -> DataFrame:
     The command in ``data`` counts, whatever the column ``cmd`` says.
     """
     entries = in_force(log.select("shard", "idx", "term", "data")).where("data IS NOT NULL").select("shard", "idx", "data")
-    reduced = entries.mapInArrow(lambda batches: upsert(_decoded(batches)), STATE)
-    spark = log.sparkSession
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return reduced.repartition(buckets, "shard", "store", "kv_key", "member").mapInArrow(upsert, STATE)
+    return _in_buckets(entries.mapInArrow(lambda batches: upsert(_decoded(batches), BUCKET_BYTES), STATE), buckets)
 
 
 def publish(state: DataFrame, target: str | None = None) -> str:

@@ -29,34 +29,42 @@ def with_neighbours(df: DataFrame, keys: list[str], value: str, block: int = 409
     )
 
 
+ROWS = 1_000_000  # of a part of a ranking, so that parts stay small whatever the number of rows
+_NUMBER_BITS = 33  # of the row number within a partition, in monotonically_increasing_id
+
+
 def spread_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:
     """The rows with a 0-based BIGINT ``rank`` within ``keys`` by ``order``, which must have no ties within a key.
 
     A window over the keys alone would sort a hot key in one task.  Here all rows are range-partitioned by (keys,
-    order), so that a hot key spans many partitions; each numbers its part of a key, and the sizes of the parts
-    before it are added.  The range-partitioned rows are written once, so the cuts are the same for both steps.
-    A column of that name in ``df`` is replaced.
+    order), in as many partitions as their number needs, so that a hot key spans many of them; the place of a row
+    in its sorted partition is written with it, and the sizes of the key's earlier parts are added.  A column of
+    that name in ``df`` is replaced.
     """
     spark = df.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.drop(rank).repartitionByRange(count, *keys, *order).withColumn("_part", F.spark_partition_id())
-    rows = materialize(ranged, "ranked")
-    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    given = materialize(df.drop(rank), "unranked")
+    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // ROWS))
+    ranged = given.repartitionByRange(count, *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn("_part", F.shiftright("_at", _NUMBER_BITS)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << _NUMBER_BITS) - 1)))
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    start = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")
+    starts = sizes.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_p"), start.alias("_start"))
     same = F.col("_part") == F.col("_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return rows.join(starts, same).withColumn(rank, (F.col("_start") + F.col("_number")).cast("bigint")).select(*df.drop(rank).columns, rank)
+    return rows.join(starts, same).withColumn(rank, (F.col("_start") + F.col("_at")).cast("bigint")).select(*given.columns, rank)
 
 
-def rank_in_blocks(df: DataFrame, key: str, salt: Column, order: list[Column], rank: str = "rank", salts: int = 64) -> DataFrame:
+def rank_in_blocks(df: DataFrame, key: str, salt: Column, order: list[Column], rank: str = "rank", salts: int | None = None) -> DataFrame:
     """A 0-based number for each row within ``key``; ties of ``key`` are spread over ``salts`` blocks.
 
     The number follows (block, order), so it is dense within the key but is no order of the rows.  The block is
-    ``salt`` modulo ``salts``; no task holds more than one block of a key.
+    ``salt`` modulo ``salts``; no task holds more than one block of a key.  Without ``salts`` there are as many as
+    the number of rows needs.
     """
+    salts = salts or -(-df.count() // ROWS) or 1
     rows = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     sizes = rows.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,62 +1,85 @@
 """Percentiles per group by radix selection.
 
-Values become integers in the same order; a histogram counts one group of leading bits (a digit) per group, and for
-each percentile only the digit that contains its rank is followed into the next histogram.  A digit whose values are
-all equal ends the search, so most percentiles are exact after one or two histograms.
-
-Histograms of parts (partitions, days, files) add up to the histogram of the whole.  One set of histograms over fine
-groups (node and day) therefore serves coarser groups (node and month) without another pass over the values.
+Values become integers in the same order, the sortable bits of a floating number; a histogram counts one group of
+leading bits (a digit) per group, and for each percentile only the digit that contains its rank is followed into the
+next histogram.  A digit whose values are all equal ends the search, so most percentiles are exact after one or two
+histograms.
+
+Digits lie at fixed places of those bits, whatever the values are.  So histograms of parts (partitions, days, files,
+separate runs) have the same cells and add up to the histogram of the whole: those of days, kept, give months.  The
+first digit is the sign, the exponent and eight bits of the fraction: it bounds each percentile to 1/256 of its value.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.workspace import materialize
 
-DIGIT_BITS = 12
-
-
-@F.pandas_udf(T.LongType())
-def _double_bits(values: pd.Series) -> pd.Series:
-    import numpy as np
-
-    bits = (values.to_numpy(np.float64) + 0.0).view(np.int64)  # + 0.0 turns -0.0 into 0.0
-    return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF)))
-
+SHIFTS = (44, 32, 20, 8, 0)  # the bits behind each digit
+FIRST = SHIFTS[0]
+ERROR = 2.0**-8  # of a value, after the first digit; for values of less than 2^-1022 it is 2^-1030 at most
 
-@F.pandas_udf(T.DoubleType())
-def _bits_double(bits: pd.Series) -> pd.Series:
-    import numpy as np
 
-    raw = bits.to_numpy(np.int64)
-    return pd.Series((raw ^ ((raw >> 63) & np.int64(0x7FFF_FFFF_FFFF_FFFF))).view(np.float64))
+def ordered_bits(value: Column) -> Column:
+    """A BIGINT in the same order as a number: its bits as a double, those of negative numbers turned round.
 
-
-def ordered_bits(df: DataFrame, value: str) -> Column:
-    """A BIGINT in the same order as ``value``: integers are themselves, floating values their sortable bits."""
-    kind = df.schema[value].dataType
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(value).cast("bigint")
-    return _double_bits(F.col(value).cast("double"))
+    Built from exact arithmetic, so that it stays within the generated code: powers of two, and quotients by them,
+    are exact.  0.0 and -0.0 are equal.  Integers above 2^53 and decimals that share a double share their bits.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    guess = F.floor(F.log2(size)).cast("int")
+    guess = F.when(power(guess) > size, guess - 1).otherwise(guess)
+    exponent = F.when(power(guess + 1) <= size, guess + 1).otherwise(guess)
+    fraction = ((size / power(exponent) - 1) * F.lit(2.0**52)).cast("bigint")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("bigint"))
+        .when(size < F.lit(2.0**-1022), (size / F.lit(2.0**-1074)).cast("bigint"))
+        .when(size == F.lit(float("inf")), F.lit(2047 << 52).cast("bigint"))
+        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction)
+    )
+    return F.when(x < 0, -1 - bits).otherwise(bits)
+
+
+def _counted(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    floating = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    rows = df.where(F.col(value).isNotNull() & (~F.isnan(value) if floating else F.lit(True))).dropna(subset=keys)
+    return rows.select(*keys, ordered_bits(F.col(value)).alias("bits"), (F.col(value) + F.lit(0).cast(df.schema[value].dataType) if floating else F.col(value)).alias("value"))
+
+
+def _digits(values: DataFrame, keys: list[str], shift: int | None) -> DataFrame:
+    """keys, shift, cell, n, lo, hi of each digit; without a shift every value is a cell of its own."""
+    cell = F.shiftright("bits", shift or 0).alias("cell")
+    rows = values.groupBy(*keys, F.lit(-1 if shift is None else shift).alias("shift"), cell, *(["value"] if shift is None else []))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).drop("value")
+
+
+def digit_histogram(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """keys, shift, cell, n, lo, hi: rows, least and greatest value of each first digit, to be kept and merged.
+
+    Rows with a null in ``keys``, and null or NaN values, are not counted.
+    """
+    return _digits(_counted(df, value, keys), keys, FIRST)
 
 
-def digit_histogram(values: DataFrame, keys: list[str], shift: int) -> DataFrame:
-    """keys, cell, n, lo, hi: the rows, least and greatest bits of each digit; it adds up, see ``merge_histograms``."""
-    return values.groupBy(*keys, F.shiftright("bits", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
+def merge_histograms(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """The histogram of coarser groups, from that of finer ones or from the union of separate runs'."""
+    return histogram.groupBy(*keys, "shift", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def merge_histograms(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """The histogram of coarser groups, from that of finer ones or of separate parts."""
-    return histogram.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def bounded_percentiles(histogram: DataFrame, keys: list[str], pcts: list[int]) -> DataFrame:
+    """keys, pct, size, low, high from merged histograms; the percentile lies between the two, ``ERROR`` apart at most."""
+    found = _pick(merge_histograms(histogram.where(F.col("shift") == FIRST), keys), keys, None, pcts)
+    return found.select(*keys, "pct", "size", F.col("lo").alias("low"), F.col("hi").alias("high"))
 
 
 def _pick(histogram: DataFrame, keys: list[str], targets: DataFrame | None, pcts: list[int]) -> DataFrame:
     """keys, pct, rank, size, cell, lo, hi: the digit that holds each target rank, and the rank within it."""
-    inside = Window.partitionBy(*keys, *([] if targets is None else ["pct"])).orderBy("cell")
+    inside = Window.partitionBy(*keys, *([] if targets is None else ["pct"])).orderBy("lo")
     if targets is None:
         total = F.sum("n").over(Window.partitionBy(*keys))
         rows = histogram.withColumn("size", total).withColumn("through", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -76,28 +99,23 @@ def radix_percentiles(df: DataFrame, value: str, base: list[str], groupings: dic
     ``base``, and null or NaN values, are not counted; a group without values gives no row.
 
     With ``digits`` the search stops after so many digits: ``low`` and ``high`` then bound the percentile, and
-    ``value`` is ``high``.  Otherwise all three are equal and exact.  Repeated values count as often as they occur.
+    ``value`` is ``high``; after one digit they are at most ``ERROR`` apart.  Otherwise all three are equal and exact,
+    in the type of the column.  Repeated values count as often as they occur.
     """
-    floating = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
-    rows = df.where(F.col(value).isNotNull() & (~F.isnan(value) if floating else F.lit(True))).dropna(subset=base)
-    values = materialize(rows.select(*base, ordered_bits(df, value).alias("bits")), "radix-values")
-    least, most = values.agg(F.min("bits"), F.max("bits")).first()
-    shift = 0
-    while least is not None and (most >> shift) - (least >> shift) >= 1 << DIGIT_BITS:
-        shift += 1
+    values = materialize(_counted(df, value, base), "radix-values")
     done: dict[str, list[DataFrame]] = {name: [] for name in groupings}
     targets: dict[str, DataFrame] = {}
-    current, level = values, 0
-    while True:
+    current = values
+    levels = [*SHIFTS, None]  # at last values that share a double
+    for level, shift in enumerate(levels):
         keys = base if level == 0 else [*base, "above"]
-        histogram = materialize(digit_histogram(current, keys, shift), f"radix-digit{level}")
-        level += 1
-        last = shift == 0 or level == digits
+        histogram = materialize(_digits(current, keys, shift), f"radix-digit{level}")
+        last = shift is None or level + 1 == digits
         wanted = []
         for name, own in groupings.items():
-            if level > 1 and name not in targets:
+            if level and name not in targets:
                 continue
-            merged = merge_histograms(histogram, own if level == 1 else [*own, "above"])
+            merged = merge_histograms(histogram, own if level == 0 else [*own, "above"]) if shift is not None else histogram.groupBy(*own, "above", "cell", "lo", "hi").agg(F.sum("n").alias("n"))
             picked = materialize(_pick(merged, own, targets.get(name), pcts), f"radix-{name}{level}")
             done[name].append(picked if last else picked.where("lo = hi"))
             if not last and not (rest := picked.where("lo < hi")).isEmpty():
@@ -113,14 +131,12 @@ def radix_percentiles(df: DataFrame, value: str, base: list[str], groupings: dic
         needed = needed.distinct()
         # only the values within a digit that holds a target rank go into the next histogram
         current = values.withColumn("above", F.shiftright("bits", shift)).join(needed.withColumnRenamed("cell", "above"), [*base, "above"], "left_semi")
-        shift = max(0, shift - DIGIT_BITS)
-    back = (lambda c: _bits_double(F.col(c))) if floating else (lambda c: F.col(c))
     results = {}
     for name, parts in done.items():
         whole = parts[0]
         for more in parts[1:]:
             whole = whole.unionByName(more)
-        results[name] = whole.select(*groupings[name], "pct", "size", back("hi").alias("value"), back("lo").alias("low"), back("hi").alias("high"))
+        results[name] = whole.select(*groupings[name], "pct", "size", F.col("hi").alias("value"), F.col("lo").alias("low"), F.col("hi").alias("high"))
     return results
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slotweave.operators import change_feed, copy_differences, nested, radix, snapshot_changes
 from slotweave.queries import Registry, table
+from slotweave.workspace import materialize
 
 registry = Registry()
 query = registry.add
@@ -169,6 +170,23 @@ def p3_price_percentiles(spark, folder):
     return found.select(*keys, "pct", "size", "value")
 
 
+@query(
+    _P3.partition(",\nday AS")[0]
+    + """, c AS (SELECT node_id, date_trunc('month', d) AS m, x, CASE WHEN x = 0 THEN -1 ELSE CAST(floor(log2(x)) AS INT) END AS e FROM v),
+h AS (SELECT node_id, m, CASE WHEN e > 8 THEN (x >> (e - 8)) + e * 1024 ELSE x END AS cell, count(*) AS n, min(x) AS low, max(x) AS high FROM c GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY node_id, m) AS size, sum(n) OVER (PARTITION BY node_id, m ORDER BY low) AS upto FROM h),
+p AS (SELECT CAST(unnest([50, 95, 99]) AS INT) AS pct)
+SELECT node_id, strftime(m, '%Y-%m') AS probe_month, pct, CAST(size AS BIGINT) AS size, low, high FROM t, p WHERE (size * pct + 99) // 100 <= upto AND (size * pct + 99) // 100 > upto - n"""
+)
+def p3_merged_months(spark, folder):
+    """Bounds of a month's percentiles from histograms of days that were built in separate runs."""
+    values = radix.probe_values(table(spark, folder, "node_probes"))
+    early = F.dayofmonth("day") <= 15
+    runs = [materialize(radix.digit_histogram(values.where(part), "latency_ms", ["node_id", "day", "month"]), "histogram-run") for part in (early, ~early)]
+    found = radix.bounded_percentiles(runs[0].unionByName(runs[1]), ["node_id", "month"], [50, 95, 99])
+    return found.select("node_id", F.date_format("month", "yyyy-MM").alias("probe_month"), "pct", "size", "low", "high")
+
+
 @query(_P4)
 def p4_found(spark, folder):
     return copy_differences.log_differences(table(spark, folder, "wal_leader"), table(spark, folder, "wal_follower"), table(spark, folder, "shard_status"))

@@ -1,13 +1,18 @@
 """The general data problems: whole small tables against plain Python, and the cases of each operator."""
 
+import json
+import math
 import random
+import struct
 from collections import Counter
 from datetime import datetime
+from decimal import Decimal
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
+from slotweave.functions import jsontext
 from slotweave.operators import change_feed, copy_differences, nested, neighbours, radix, snapshot_changes
 from slotweave.queries import problems
 
@@ -145,11 +150,15 @@ def _percentile(values, pct):
     return values[max(1, -(-len(values) * pct // 100)) - 1]
 
 
-@pytest.mark.parametrize("kind", ["bigint", "double"])
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(38,20)"])
 def test_radix_percentiles_exact(spark, kind):
     rng = random.Random(7)
-    draw = (lambda: rng.choice([rng.randint(-(2**62), 2**62), rng.randint(0, 9), 5])) if kind == "bigint" else (lambda: rng.choice([rng.uniform(-1e9, 1e9), rng.gauss(0, 1e-8), 0.0, -0.0, float("-inf")]))
-    data = [(g, d, draw()) for g in range(4) for d in range(3) for _ in range(rng.randint(1, 80))]
+    draws = {
+        "bigint": lambda: rng.choice([rng.randint(-(2**62), 2**62), 2**60 + rng.randint(0, 3), rng.randint(0, 9), 5]),
+        "double": lambda: rng.choice([rng.uniform(-1e9, 1e9), rng.gauss(0, 1e-8), 0.0, -0.0, float("-inf"), 5e-324, 2.0**-1022]),
+        "decimal(38,20)": lambda: Decimal(rng.randint(0, 3)) + Decimal(rng.randint(1, 9)).scaleb(-20),
+    }
+    data = [(g, d, draws[kind]()) for g in range(4) for d in range(3) for _ in range(rng.randint(1, 80))]
     df = spark.createDataFrame(data + [(None, 1, data[0][2]), (1, 1, None)], f"g INT, d INT, v {kind}")
     if kind == "double":
         df = df.union(spark.createDataFrame([(1, 1, float("nan"))], "g INT, d INT, v DOUBLE"))
@@ -161,16 +170,27 @@ def test_radix_percentiles_exact(spark, kind):
     assert coarse == {(g, p): _percentile([v for a, _, v in data if a == g], p) for g in range(4) for p in pcts}
 
 
-def test_radix_bounds_and_merge(spark):
-    df = spark.range(1, 100_001).select((F.col("id") % 2).alias("g"), (F.col("id") % 10).alias("part"), (F.col("id") * 1000003 % 999983).alias("v"))
-    got = radix.radix_percentiles(df, "v", ["g"], {"all": ["g"]}, [50], digits=1)["all"].collect()
-    exact = radix.radix_percentiles(df, "v", ["g"], {"all": ["g"]}, [50])["all"].collect()
-    value = {r.g: r.value for r in exact}
-    assert all(r.low <= value[r.g] <= r.high and r.high - r.low < 999983 / 2**11 for r in got)
-    bits = df.select("g", "part", F.col("v").alias("bits"))
-    whole = radix.digit_histogram(bits, ["g"], 8).collect()
-    merged = radix.merge_histograms(radix.digit_histogram(bits, ["g", "part"], 8), ["g"]).collect()
-    assert Counter(map(tuple, whole)) == Counter(map(tuple, merged))
+def test_ordered_bits_are_those_of_a_double(spark):
+    rng = random.Random(2)
+    values = [0.0, 5e-324, 2.0**-1022, 1.7976931348623157e308, float("inf"), *(2.0**e for e in range(-1074, 1024, 7)), *(math.ldexp(rng.uniform(1, 2), rng.randint(-1080, 1022)) for _ in range(300))]
+    values += [math.nextafter(v, 0) for v in values[5:300]]
+    df = spark.createDataFrame([(s * v,) for v in values for s in (1, -1)], "v DOUBLE").select("v", radix.ordered_bits(F.col("v")).alias("bits"))
+    for r in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.bits == (-1 - bits if r.v < 0 else bits)
+
+
+def test_histograms_of_separate_runs_add_up(spark):
+    df = spark.range(1, 60_001).select((F.col("id") % 2).alias("g"), (F.col("id") % 10).alias("part"), (F.col("id") * 1000003 % 999983 * F.pow(F.lit(10.0), F.col("id") % 10)).alias("v"))
+    runs = [radix.digit_histogram(df.where(F.col("part") == p), "v", ["g", "part"]) for p in range(10)]  # each with a value range of its own
+    merged = runs[0]
+    for run in runs[1:]:
+        merged = merged.unionByName(run)
+    whole = radix.digit_histogram(df, "v", ["g"])
+    assert Counter(map(tuple, whole.collect())) == Counter(tuple(r) for r in radix.merge_histograms(merged, ["g"]).collect())
+    exact = {(r.g, r.pct): r.value for r in radix.radix_percentiles(df, "v", ["g"], {"all": ["g"]}, [1, 50, 99])["all"].collect()}
+    got = radix.bounded_percentiles(merged, ["g"], [1, 50, 99]).collect()
+    assert len(got) == 6 and all(r.low <= exact[r.g, r.pct] <= r.high <= r.low * (1 + radix.ERROR) for r in got)
 
 
 def test_radix_empty(spark):
@@ -185,6 +205,24 @@ def test_canonical_json_of_long_numbers():
     assert canonical(long) == canonical(long + b".000") == canonical(b"0." + long + b"e40")
 
 
+def test_json_of_any_depth():
+    deep = "[" * 150_000 + "1.0" + "]" * 150_000
+    same, other = deep.replace("1.0", " 1 "), deep.replace("1.0", "2")
+    canonical = lambda text: copy_differences.canonical(text.encode())
+    assert canonical(deep) == canonical(same) != canonical(other) and canonical(deep)[0] == "j"
+    assert canonical('["\\u00002.5"]') != canonical("[2.5]") == canonical("[25e-1]")
+    body = '{"batches": {"slots": [7]}}'
+    for n in range(40):
+        body = json.dumps({"report": body}) if n % 8 == 0 else '{"result": %s}' % body
+    assert [(tag, pk) for tag, pk, _ in nested.visit_report(body)] == [("batch", (0,)), ("batch_slot", (0, 0))]
+    assert [(tag, pk) for tag, pk, _ in nested.visit_report('{"batches": {"slots": [%s, 1]}}' % deep)] == [("batch", (0,)), ("batch_slot", (0, 0)), ("batch_slot", (0, 1))]
+    for text in ('{"a":1}x', "{", "[1,]", '{"a"}', "", "nul", "[1 2]", '{"a":1,}', "[" * 150_000):
+        with pytest.raises(ValueError):
+            jsontext.canonical_text(text)
+        with pytest.raises(ValueError):
+            jsontext._nested(text, int)
+
+
 def test_canonical_json():
     same = [b'{"a": 1, "b": [1.0, "x"]}', b'{ "b":[1e0,"\\u0078"],"a":1.00 }']
     assert copy_differences.canonical(same[0]) == copy_differences.canonical(same[1])
@@ -211,6 +249,20 @@ def test_log_differences_cases(spark, rows):
     assert copy_differences.log_differences(leader, leader, status).where("field <> 'commit_index'").count() == 0
 
 
+def test_repeated_entries_follow_one_rule(spark, rows):
+    """Rows of one entry that are equal in term and time: both steps must take the same one."""
+    cells = [("SET", b"1"), ("DEL", b"2"), ("ZADD", b"3")]
+    for n in range(8):
+        twice = [("a", i, 1, *cells[(i + n + k) % 3]) for i in range(8) for k in range(2)]
+        leader, follower = _log(spark, *twice), _log(spark, *reversed(twice), ("a", 8, 1, "SET", b"9"))
+        status = spark.createDataFrame([("a", "leader", 99, "z"), ("a", "follower", 99, "z")], STATUS)
+        assert rows(copy_differences.log_differences(leader, follower, status)) == [("a", 8, "missing_in_leader")]
+    one = _log(spark, *(("a", i, 1, "SET", b"1") for i in range(8)))
+    two = _log(spark, *(("a", i, 1, cmd, b"1") for i in range(8) for cmd in ("SET", "DEL")))
+    assert len({r[2] for r in rows(copy_differences.log_differences(one, two, status))}) <= 1
+    assert copy_differences.log_differences(one, two, status).count() in (0, 8)
+
+
 def _feed(spark, *entries):
     return spark.createDataFrame([(s, i, t, "x", d if d is None or isinstance(d, bytes) else d.encode(), "clash", 0) for s, i, t, d in entries], "shard STRING, idx BIGINT, term BIGINT, cmd STRING, data BINARY, seq STRING, _end INT").drop("_end")
 
