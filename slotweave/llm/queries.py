@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from slotweave.llm import containment, packing, residue
 from slotweave.queries import Registry, table
 
@@ -11,7 +13,10 @@ query = registry.add
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) + 1 > 16384")
 def p6_found(spark, folder):
-    return packing.pack_documents(table(spark, folder, "documents")).where("pieces > 1").select("doc_id").distinct()
+    """Documents whose pieces were put into several containers."""
+    placed = packing.pack_documents(table(spark, folder, "documents"))
+    own = placed.groupBy("doc_id").agg(F.min("container").alias("lowest"), F.max("container").alias("highest"), F.max("piece").alias("piece"))
+    return own.where("lowest < highest AND piece > 0").select("doc_id")
 
 
 @query()
@@ -19,6 +24,16 @@ def p6_assignment(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query(
+    """SELECT count(*) AS documents, CAST(sum(strlen(text) + 1) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS split_without_need,
+  CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS misplaced, true AS near_ideal FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"""
+)
+def p6_audit(spark, folder):
+    """The rules that the assignment must keep, recomputed from where the pieces lie; SQL says what they must give."""
+    documents = table(spark, folder, "documents")
+    return packing.audit(documents, packing.pack_documents(documents))
+
+
 def _joined(x: str) -> str:
     return f"CASE json_type({x}) WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract({x}, '$[*]'), lambda e: json_extract_string(e, '$')), '') ELSE coalesce(json_extract_string({x}, '$'), '') END"
 
@@ -40,6 +55,16 @@ def p7_found(spark, folder):
     return containment.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+@query(
+    _P7.rpartition("SELECT DISTINCT doc_id, item_id")[0]
+    + """SELECT doc_id, win_item AS item_id, count(DISTINCT p) AS found, any_value(total) AS passages FROM (SELECT win.doc_id, pas.item_id AS win_item, pas.p, t.total FROM win
+  JOIN pas ON win.n = pas.n AND win.p = pas.p JOIN (SELECT item_id, count(*) AS total FROM pas GROUP BY item_id) t ON t.item_id = pas.item_id) GROUP BY doc_id, win_item"""
+)
+def p7_shares(spark, folder):
+    """How much of a leaked item stands in a document."""
+    return containment.leaked_shares(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 @query()
 def p8_found(spark, folder):
     return residue.leftover_documents(table(spark, folder, "documents"))

@@ -29,10 +29,6 @@ def test_empty_code_cell_of_a_script():
         assert cells.read_cells(f"# In[1]:{gap}# Your text goes here.\n")[1][0][0] == "code"
 
 
-def _full(plan, capacity):
-    return sum(repeats * (capacity - sum(n * length for length, n in filling.items())) for repeats, filling in plan)
-
-
 def test_fill_window_is_optimal():
     rng = random.Random(3)
     for _ in range(60):
@@ -60,6 +56,34 @@ def test_plan_uses_every_item_once():
     assert packing.plan_containers({}, 500) == []
 
 
+def test_plan_in_groups(spark):
+    rng = random.Random(6)
+    histogram = {length: rng.randint(1, 9) for length in rng.sample(range(1, 9000), 3000)} | {9001: 40, 16_384: 3}
+    plan = packing.plan_in_groups(spark, histogram)
+    used, total = {}, sum(length * n for length, n in histogram.items())
+    for repeats, filling in plan:
+        assert sum(length * n for length, n in filling.items()) <= packing.CAPACITY
+        for length, n in filling.items():
+            used[length] = used.get(length, 0) + n * repeats
+    assert used == histogram and sum(r for r, _ in plan) <= -(-total // packing.CAPACITY) * 1.001 + 1
+    assert plan == packing.plan_in_groups(spark, dict(reversed(histogram.items())))
+    hard = {length: 5 for length in range(9000, 16_000, 2)}  # nothing fits beside another
+    assert sum(r for r, _ in packing.plan_in_groups(spark, hard)) == sum(hard.values())
+
+
+def test_audit_sees_each_fault(spark):
+    documents = spark.createDataFrame([(1, "a" * 9), (2, "b" * 4), (3, "c" * 14), (4, None)], "doc_id BIGINT, text STRING")
+    columns = "doc_id BIGINT, piece INT, pieces INT, length BIGINT, container BIGINT, position BIGINT"
+    good = [(1, 0, 1, 10, 0, 0), (2, 0, 1, 5, 1, 0), (3, 0, 2, 10, 2, 0), (3, 1, 2, 5, 1, 5)]
+    ask = lambda placed: tuple(packing.audit(documents, spark.createDataFrame(placed, columns), 10).first())
+    assert ask(good) == (3, 30, 0, 0, 0, 0, True)
+    assert ask(good[:3])[2] == 1 and ask([])[2] == 3
+    assert ask([(1, 0, 1, 6, 0, 0), (1, 1, 1, 4, 3, 0), *good[1:]])[3] == 1
+    assert ask([(1, 0, 1, 10, 1, 10), *good[1:]])[4] == 1
+    assert ask([*good[:3], (3, 1, 2, 5, 1, 4)])[5] == 1
+    assert ask(packing.pack_documents(documents, 10).select("doc_id", "piece", "pieces", "length", "container", "position").collect()) == (3, 30, 0, 0, 0, 0, True)
+
+
 def test_pack_cases(spark):
     items = [(1, 10), (2, 10), (3, 7), (4, 3), (5, 25), (6, 20), (None, 5), (7, None), (8, 0), (9, 10), (9, 10), (10, 1)]
     got = packing.pack(spark.createDataFrame(items, "name BIGINT, size BIGINT"), "name", "size", 10).collect()
@@ -118,8 +142,43 @@ def test_leak_cases(spark):
 def test_window_does_not_cross_documents():
     index = containment.PassageIndex(containment.passages_of(1, "one two three four five six"))
     assert index.search([(1, "one two three"), (2, "four five six")]) == set()
-    assert index.search([(1, "one two three"), (2, "x one two three four five six y")]) == {(2, 1)}
+    assert index.search([(1, "one two three"), (2, "x one two three four five six y")]) == {(2, 1, 0)}
+
 
+def test_shingle_containment():
+    own = tuple("a b c d e f g".split())
+    assert containment.shingle_containment(own, ("x", *own, "y")) == 1
+    assert containment.shingle_containment(own, (*own[:6], "y")) == pytest.approx(2 / 3)
+    assert containment.shingle_containment(("a", "b"), own) == 1 and containment.shingle_containment(("b", "a"), own) == 0
+
+
+def test_long_span_over_the_cut_of_a_very_long_text(spark):
+    """A passage longer than usual that lies across the place where a very long text is cut."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = spark.createDataFrame([(1, passage)], "item_id BIGINT, text STRING")
+    filler = "lorem " * ((4 * containment._CHUNK - 60) // 6)
+    docs = spark.createDataFrame([(1, filler + passage + " end " + filler)], "doc_id BIGINT, text STRING")
+    for span in (13, 25):
+        assert [tuple(r) for r in containment.leaked_items(docs, items, span).collect()] == [(1, 1)]
+
+
+def test_index_and_join_agree(spark, data, monkeypatch):
+    documents, items = (spark.read.parquet(f"{data}/{name}.parquet") for name in ("documents", "eval_items"))
+    want = sorted(map(tuple, containment.leaked_items(documents, items).collect()))
+    shares = sorted(map(tuple, containment.leaked_shares(documents, items).collect()))
+    monkeypatch.setattr(containment, "INDEX_PASSAGES", 10)
+    assert sorted(map(tuple, containment.leaked_items(documents, items).collect())) == want
+    assert sorted(map(tuple, containment.leaked_shares(documents, items).collect())) == shares
+    assert [r[:2] for r in shares] == want and all(0 < found <= of for _, _, found, of in shares)
+    assert containment.leaked_items(documents, items.limit(0)).count() == 0
+
+
+def test_many_passages_in_one_scan(spark, monkeypatch):
+    """More passages than the index takes are joined: the texts are read once."""
+    monkeypatch.setattr(containment, "INDEX_PASSAGES", 100)
+    items = spark.range(300).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(0, 29), i -> concat('w', id * 31 + i))) AS text")
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('x ', concat_ws(' ', transform(sequence(3, 20), i -> concat('W', id * 31 + i))), ' y') AS text")
+    assert sorted(map(tuple, containment.leaked_items(docs, items).collect())) == [(i, i) for i in range(300)]
 
 def test_minhash_of_windows():
     import numpy as np
@@ -168,8 +227,66 @@ def test_residue_behind_an_empty_code_cell(spark):
     assert _flagged(spark, texts + filler) == {0}
 
 
+def test_messages_over_many_lines(spark):
+    """Windows grow with the exemplars, also where the layout does not mark a cell's end."""
+    page = "<html>\n<head>\n<title>502 Bad Gateway</title>\n</head>\n<body>\n<center>\n<h1>502 Bad Gateway</h1>\n</center>\n<hr>\n<center>nginx</center>\n</body>\n</html>"
+    texts = [f"In [1]: x = 1\nOut[1]: 7\n{page}\nSome prose about rows.", "In [1]: x\nOut[1]: Lorem\nipsum\ndolor\nverat\nposulus\nnolis\nvelor\ntarim\n", page]
+    texts += ["In [1]: x\nOut[1]: retry(codes=(502, 503), wait=3)  # Service Unavailable, Bad Gateway\n"]
+    filler = ["Ordinary notebook text about rows %d." % i for i in range(30)]
+    assert _flagged(spark, texts + filler) == {0, 1, 2}
+
+
+# Wording that stands in no exemplar.  Notices of servers, viewers and templates, and texts that only speak of such.
+UNSEEN = [
+    "Bandwidth limit exceeded", "[Company name]\n[Street address]", "INSERT TITLE HERE", "408 Request Timeout", "410 Gone", "HTTP Error 404. The requested resource is not found.", "Error 503 Service Unavailable\n\nBackend fetch failed",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum. Lorem ipsum dolor sit amet", "Your session timed out. Please log in again.", "This site requires JavaScript to be enabled.",
+    "You have JavaScript disabled.", "Activez JavaScript pour continuer.", "Placeholder text goes here.", "Enter your description here", "Dear [Name],", "Author: <your name>\nDate: <enter date>", "<h1>Forbidden</h1><p>You don't have permission to access this resource.</p>",
+    "Vestibulum lorem ipsum pharetra morbi tristique senectus netus malesuada", "To use this viewer, allow JavaScript for this site.", "Please log in to view this page.",
+]
+ORDINARY = [
+    "Results", "Check your data", "Your own words matter here: describe the plot.", "JavaScript libraries", "Continue with page 3", "The placeholder {{ name }} is filled from the table.", "not found: 3 of 12 keys", "0 errors, 0 warnings",
+    "Error rate by region", "test accuracy: 0.93", "HTTP status codes such as 404 and 503 were removed from the log.", "Typesetters use lorem ipsum; we use real text.", "first words: ['lorem', 'ipsum', 'wing', 'mm']", "This is the text we want to classify.",
+    "Name: Anna\nDate: 2020", "KeyError: 'title'", "Time out of service (hours)", "GET /wing_mm/9 -> 404 Not Found", "9 pages read, 2 answered 503 Service Unavailable, mean age 9.9", "rendered: Dear {{ name }}, -> Dear Tavi, (9 chars)",
+]
+
+
+def _index(corpus):
+    frequency, kept = {}, []
+    for doc_id, text in corpus:
+        own, cells_ = residue.candidate_cells(text)
+        for term in [*own, ""]:
+            frequency[term] = frequency.get(term, 0) + 1
+        kept += [(doc_id, *cell) for cell in cells_]
+
+    def build(leave_out=frozenset()):
+        index = residue.ExemplarIndex(leave_out)
+        index.weigh(len(corpus), frequency)
+        return index
+
+    return build, kept
+
+
+def test_wording_that_no_exemplar_has(spark, data):
+    """Recall and precision on texts outside the exemplars, and recall where a fifth of the exemplars is left out."""
+    corpus = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect() if r.text is not None]
+    build, kept = _index(corpus)
+    index = build()
+    assert sum(residue.leftover_cell(index, text, False) for text in UNSEEN) >= 0.9 * len(UNSEEN)
+    assert not [text for text in ORDINARY if residue.leftover_cell(index, text, False)]
+    whole = {doc_id for doc_id, loose, body in kept if residue.leftover_cell(index, body, loose)}
+    texts = [t for own in (*residue.MESSAGES.values(), *residue.KERNELS.values(), residue.TEMPLATES) for t in own]
+    found = 0
+    for fold in range(5):
+        index = build(frozenset(texts[fold::5]))
+        again = {doc_id for doc_id, loose, body in kept if residue.leftover_cell(index, body, loose)}
+        assert again <= whole
+        found += len(again)
+    assert found >= 0.9 * 5 * len(whole) > 0
+
+
 def test_terms():
     assert residue.terms("Project ${X} by {{ cookiecutter.name }}. 404") == ["project", "§", "by", "§"]
+    assert residue.terms("Author: [Your name]\n- [Company name].\nx [a](b) [1]") == ["author", "§", "§", "x", "a", "b"]
     assert residue.terms("TODO: add license; TBD (x); __NAME__ __init") == ["§", "§", "§", "init"]
 
 
