@@ -229,7 +229,7 @@ _SLOT_SIGNS = tuple(dict.fromkeys(sign for _, signs in PLACEHOLDERS for sign in
 _BLANK = re.compile(r"\n[ \t]*\n")
 _CODE = re.compile(r"\b[45]\d\d\b")
 _PROGRAM = re.compile(r"\w\(|\w\)?\s*=\s*[\w(\[]|^\s*(?:import|from|def|return|raise)\b")
-_ODD = re.compile(r"[^\w\s.,;:!?*>\-]|[\d_]")
+_ODD = re.compile(r'[^\w\s.,;:!?*>#|"\-]|[\d_]')
 _TERM = re.compile(r"§|[^\W\d_]+")
 
 
