@@ -63,6 +63,11 @@ def _numbered(args: dict[str, str], first: str) -> list[str]:
     return found
 
 
+def _place():
+    """Where a copy stands in its mailbox; the copies of one publish share its idx."""
+    return F.struct("idx", "kind", "channel", F.coalesce("pattern", F.lit("")).alias("pattern"))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, now_ms: int = 0, seed: int = 0):
         self.spark, self.now_ms, self.seed = spark, now_ms, seed
@@ -86,12 +91,18 @@ class Engine:
         return handler(args or {})
 
     def checkpoint(self) -> None:
+        """Write out everything that writes have derived; mail that has been polled is dropped."""
         self.state = {store: materialize(df, f"engine-{store}") for store, df in self.state.items()}
+        if self.polled:
+            read = self.spark.createDataFrame([(own, at) for own, at in self.polled.items()], "sub_id STRING, _read STRUCT<idx: BIGINT, kind: STRING, channel: STRING, pattern: STRING>")
+            self.sent = self.sent.join(read, "sub_id", "left").where(F.col("_read").isNull() | (_place() > F.col("_read"))).drop("_read")
+        for name in ("bits", "cells", "topics", "sent"):
+            setattr(self, name, materialize(getattr(self, name), f"engine-{name}"))
 
     def locate(self, keys: DataFrame, owners: DataFrame, slots: int = SLOTS) -> DataFrame:
         """key, tag, slot, shard of each key."""
         rows = keys.select("key", hash_tag(F.col("key")).alias("tag"), hash_slot(F.col("key"), slots).cast("int").alias("slot"))
-        return rows.join(F.broadcast(owners), "slot", "left").select("key", "tag", "slot", "shard")  # owners: a row per slot
+        return rows.join(placement.small(owners, slots), "slot", "left").select("key", "tag", "slot", "shard")
 
     def plan(self, old: list[str], new: list[str], slots: int = SLOTS) -> DataFrame:
         """The moves from the layout of some shards to that of others."""
@@ -479,8 +490,7 @@ class Engine:
     def _poll(self, args):
         own, most = _text(args, "id"), _number(args, "max", default=64)
         box = self.sent.where(F.col("sub_id") == own)
-        # the copies of one publish share its idx, so a page may end between them
-        place = F.struct("idx", "kind", "channel", F.coalesce("pattern", F.lit("")).alias("pattern"))
+        place = _place()  # a page may end between the copies of one publish
         if own in self.polled:
             idx, *rest = self.polled[own]
             box = box.where(place > F.struct(F.lit(idx).cast("bigint").alias("idx"), *(F.lit(v).alias(n) for n, v in zip(("kind", "channel", "pattern"), rest))))
@@ -503,13 +513,24 @@ class Engine:
 
     def _cluster_dumpslot(self, args):
         wanted, count = self._wanted(args)
-        return slots.dump(self.state, wanted, self.now_ms, count)
+        named = {"bloom": self.blooms, "cms": self.sketches, "ratelimit": self.limiters}
+        others = {store: self.spark.createDataFrame([(key,) for key in keys], "key STRING") for store, keys in named.items() if keys}
+        return slots.dump({**self.state, **others}, wanted, self.now_ms, count)
 
     def restore(self, dumped: DataFrame) -> DataFrame:
-        """CLUSTER_RESTORE: put the keys of a dump in place of the state's own; the reply counts them."""
+        """Put the keys of a dump in place of the state's own; the reply counts those that were restored."""
         dumped = materialize(dumped, "engine-dump")
         self.state = slots.restore(self.state, dumped, self.now_ms)
-        return dumped.agg(F.countDistinct("store", "key").alias("result"))
+        return slots.restored_keys(dumped, self.now_ms).agg(F.count(F.lit(1)).alias("result"))
+
+    def _cluster_restore(self, args):
+        """The payload is a JSON array of a dump's rows (store, key, chunk, entry)."""
+        text = _text(args, "payload")
+        schema = "array<struct<slot: bigint, store: string, key: string, chunk: bigint, entry: string>>"
+        rows = self.spark.createDataFrame([(text,)], "payload STRING").select(F.from_json("payload", schema).alias("rows"))
+        if rows.where("rows IS NULL OR exists(rows, r -> r IS NULL OR r.store IS NULL OR r.key IS NULL OR r.entry IS NULL)").count():
+            raise CommandError("invalid payload")
+        return self.restore(rows.select(F.inline("rows")))
 
     def _cluster_delslot(self, args):
         wanted, count = self._wanted(args)
@@ -522,5 +543,5 @@ COMMANDS = frozenset(
     " ZRANGEBYSCORE ZREVRANGEBYSCORE ZCOUNT ZPOPMAX ZPOPMIN SL_ADD SL_DELETE SL_GETRANK SL_GET_RANK_BY_NAME SL_GET_BY_RANK SL_GET_RANK_RANGE"
     " SL_GET_SCORE_RANGE SL_LEN GEOADD GEOPOS GEODIST GEOHASH GEOSEARCH BF_RESERVE BF_MADD BF_EXISTS BF_MEXISTS BF_INFO CMS_INITBYDIM CMS_INITBYPROB"
     " CMS_INCRBY CMS_QUERY RATELIMIT_INIT RATELIMIT_CHECK SUBSCRIBE PSUBSCRIBE UNSUBSCRIBE PUNSUBSCRIBE PUBLISH POLL PUBSUB_CHANNELS CLUSTER_DUMPSLOT"
-    " CLUSTER_DELSLOT".split()
+    " CLUSTER_RESTORE CLUSTER_DELSLOT".split()
 )

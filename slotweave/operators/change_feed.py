@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions.jsontext import parse, text_of
-from slotweave.workspace import fresh_path, materialize
+from slotweave.workspace import fresh_path, get_text, materialize, put_text
 
 STATE = "shard STRING, store STRING, kv_key STRING, member STRING, seq BIGINT, live BOOLEAN, value STRING"
 _STATE = pa.schema([("shard", pa.string()), ("store", pa.string()), ("kv_key", pa.string()), ("member", pa.string()), ("seq", pa.int64()), ("live", pa.bool_()), ("value", pa.string())])
@@ -170,22 +170,13 @@ def publish(state: DataFrame, target: str | None = None) -> str:
     target = target or fresh_path(spark, "state")
     version = f"{target}/v-{uuid.uuid4().hex}"
     state.write.option("compression", "zstd").parquet(version)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    pointer, staged = path(f"{target}/CURRENT"), path(f"{target}/CURRENT.{uuid.uuid4().hex}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf)
-    out = staged.getFileSystem(conf).create(staged, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(staged, pointer, overwrite)
+    put_text(spark, f"{target}/CURRENT", version)
     return target
 
 
 def published(spark: SparkSession, target: str) -> DataFrame:
     """The current version of a published state."""
-    version = spark.read.text(f"{target}/CURRENT").first()[0]
+    version = get_text(spark, f"{target}/CURRENT")
     return spark.read.schema(STATE).parquet(version)
 
 

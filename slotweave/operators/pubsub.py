@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions.glob import glob_regex
+from slotweave.workspace import materialize
 
 MAILBOX = 128
-PATTERNS_AT_ONCE = 20_000
 IDLE_MS = 300_000
 
 
@@ -25,35 +23,30 @@ def replay_subscriptions(log: DataFrame) -> DataFrame:
     return kept.select("sub_id", "kind", "topic")
 
 
-def _blocks(patterns: DataFrame) -> Iterator[list[str]]:
-    block = []
-    for row in patterns.toLocalIterator():
-        block.append(row[0])
-        if len(block) == PATTERNS_AT_ONCE:
-            yield block
-            block = []
-    if block:
-        yield block
+def _literal_prefix(pattern: str) -> str:
+    """The text that everything a pattern matches begins with."""
+    return re.match(r"[^*?\[\\]*", pattern).group()
 
 
 def matching(channels: DataFrame, patterns: DataFrame) -> DataFrame:
     """channel, pattern for each distinct channel and each pattern that matches it.
 
-    The patterns are a query set that goes to the channels in blocks of a fixed size.
+    Patterns and channels are joined by the literal text that a pattern begins with, in any of the lengths that the
+    patterns have, and then compared in full; a pattern that begins with a sign meets every channel.
     """
-    distinct = channels.select("channel").dropna().distinct()
-    found = None
-    for block in _blocks(patterns.select("topic").dropna().distinct()):
 
-        def run(batches, block=block):
-            compiled = [(p, re.compile(glob_regex(p))) for p in block]
-            for batch in batches:
-                pairs = [(c, p) for c in batch["channel"] for p, own in compiled if own.match(c)]
-                yield pd.DataFrame(pairs, columns=["channel", "pattern"])
+    @F.pandas_udf("prefix STRING, regex STRING")
+    def parts(topics: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"prefix": topics.map(_literal_prefix), "regex": topics.map(glob_regex)})
 
-        part = distinct.mapInPandas(run, "channel STRING, pattern STRING")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else distinct.select("channel", F.lit(None).cast("string").alias("pattern")).where(F.lit(False))
+    distinct = channels.select("channel").dropna().distinct()
+    own = patterns.select(F.col("topic").alias("pattern")).dropna().distinct().withColumn("_p", parts("pattern")).select("pattern", F.length("_p.prefix").alias("length"), "_p.prefix", "_p.regex")
+    own = materialize(own, "patterns")
+    lengths = sorted(r["length"] for r in own.select("length").distinct().collect())  # as many as a pattern is long
+    if not lengths:
+        return distinct.select("channel", F.lit(None).cast("string").alias("pattern")).where(F.lit(False))
+    begun = distinct.withColumn("prefix", F.explode(F.array(*(F.when(F.length("channel") >= n, F.substring("channel", 1, n)) for n in lengths)))).where("prefix IS NOT NULL")
+    return begun.join(own, "prefix").where(F.expr("channel RLIKE regex")).select("channel", "pattern")
 
 
 def fan_out(publishes: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -95,6 +88,44 @@ def poll(mailbox: DataFrame, after: int = 0, most: int = 64) -> DataFrame:
     return mailbox.where((F.col("seq") > after) & (F.col("seq") <= after + most))
 
 
+MAIL = "sub_id STRING, idx BIGINT, event STRING, copy STRING, seq BIGINT, delivered BIGINT, dropped BIGINT"
+
+
+def drained(deliveries: DataFrame, polls: DataFrame, size: int = MAILBOX) -> DataFrame:
+    """What becomes of each copy and each poll of a mailbox that polls empty.
+
+    ``deliveries`` as ``fan_out`` gives them, ``polls`` (idx, sub_id, most).  A row with event 'copy' has the number
+    ``seq`` (from 1) under which the mailbox took the copy, null if it was full; a row with event 'poll' has how many
+    messages it ``delivered``, the oldest first, and how many were ``dropped`` since the poll before.  A copy comes
+    before a poll of the same idx.  The mailbox of a subscriber is a fold with two numbers of state.
+    """
+    sent = deliveries.select("sub_id", "idx", F.lit("copy").alias("event"), F.concat_ws("|", "kind", "channel", "pattern").alias("copy"), F.lit(0).cast("bigint").alias("most"))
+    asked = polls.select("sub_id", "idx", F.lit("poll").alias("event"), F.lit("").alias("copy"), F.col("most").cast("bigint").alias("most"))
+    rows = sent.unionByName(asked).dropna(subset=["sub_id", "idx", "most"])
+
+    def fold(batches):
+        at, taken, read, dropped = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for sub_id, idx, event, copy, most in batch[["sub_id", "idx", "event", "copy", "most"]].itertuples(index=False, name=None):
+                if sub_id != at:
+                    at, taken, read, dropped = sub_id, 0, 0, 0
+                if event == "copy":
+                    if full := taken - read >= size:
+                        dropped += 1
+                    else:
+                        taken += 1
+                    out.append((sub_id, idx, event, copy, None if full else taken, None, None))
+                else:
+                    delivered = min(max(most, 0), taken - read)
+                    read += delivered
+                    out.append((sub_id, idx, event, copy, None, delivered, dropped))
+                    dropped = 0
+            yield pd.DataFrame(out, columns=["sub_id", "idx", "event", "copy", "seq", "delivered", "dropped"]).astype({"seq": "Int64", "delivered": "Int64", "dropped": "Int64"})
+
+    return rows.repartition("sub_id").sortWithinPartitions("sub_id", "idx", "event", "copy").mapInPandas(fold, MAIL)
+
+
 def channels(subscriptions: DataFrame) -> DataFrame:
     """kind, topic, subscribers: the channels and patterns with a subscription."""
     return subscriptions.dropna(subset=["sub_id", "topic"]).groupBy("kind", "topic").agg(F.countDistinct("sub_id").alias("subscribers"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REPLY = "idx BIGINT, key STRING, allowed BOOLEAN, remaining BIGINT, retry_after_ms BIGINT, type STRING"
 
@@ -56,18 +57,21 @@ class Limiter:
 def check(calls: DataFrame) -> DataFrame:
     """A reply for each call (idx, ts_ms, key, limit, window_ms, type), in the order of idx within a key.
 
-    Calls with a null in any of these but ``type`` are left out; a null type is 'fixed'.
+    Calls with a null in any of these but ``type`` are left out; a null type is 'fixed'.  Rows whose ``cmd`` is
+    'INIT', if there is that column, start a limiter that isn't there yet, and give no reply.
     """
-    rows = calls.select("idx", "ts_ms", "key", "limit", "window_ms", "type").dropna(subset=["idx", "ts_ms", "key", "limit", "window_ms"])
+    init = F.coalesce(F.col("cmd") == "INIT", F.lit(False)) if "cmd" in calls.columns else F.lit(False)
+    rows = calls.select("idx", "ts_ms", "key", "limit", "window_ms", "type", init.alias("init")).dropna(subset=["idx", "ts_ms", "key", "limit", "window_ms"])
 
     def fold(batches):
         key, state = None, None
         for batch in batches:
             out = []
-            for idx, now, own, limit, window, kind in batch.itertuples(index=False, name=None):
+            for idx, now, own, limit, window, kind, starts in batch.itertuples(index=False, name=None):
                 if own != key:
                     key, state = own, Limiter.fresh(now, limit)
-                out.append((idx, own, *state.check(kind or "fixed", limit, window, now), kind or "fixed"))
+                if not starts:
+                    out.append((idx, own, *state.check(kind or "fixed", limit, window, now), kind or "fixed"))
             yield pd.DataFrame(out, columns=["idx", "key", "allowed", "remaining", "retry_after_ms", "type"])
 
     return rows.repartition("key").sortWithinPartitions("key", "idx").mapInPandas(fold, REPLY)

@@ -38,12 +38,20 @@ def _inside(df: DataFrame, wanted: list[int], slots: int, how: str = "left_semi"
     return with_slot(df, slots).join(F.broadcast(chosen), "slot", how)
 
 
+SKIPPED = ("bloom", "cms", "ratelimit")  # stores whose keys a dump only names
+
+
 def dump(state: dict[str, DataFrame], wanted: list[int], now_ms: int, slots: int = SLOTS, chunk: int = CHUNK) -> DataFrame:
     """slot, store, key, chunk, entry: the content of the keys in the slots as JSON; expired strings are left out.
 
     Members come in rank order, at most ``chunk`` of them in one entry, so that no key has to fit into one value.
+    Keys of other stores give one row each with store 'skipped' and the kind of the store.
     """
     parts = []
+    for store in SKIPPED:
+        if store in state:
+            keys = _inside(state[store].select("key").dropna().distinct(), wanted, slots)
+            parts.append(keys.select("slot", F.lit("skipped").alias("store"), "key", F.lit(0).cast("bigint").alias("chunk"), F.lit(f'{{"type":"{store}"}}').alias("entry")))
     if "strings" in state:
         alive = state["strings"].where(F.col("expire_at_ms").isNull() | (F.col("expire_at_ms") > now_ms))
         parts.append(_inside(alive, wanted, slots).select("slot", F.lit("strings").alias("store"), "key", F.lit(0).cast("bigint").alias("chunk"), F.to_json(F.struct("value", "expire_at_ms")).alias("entry")))
@@ -65,6 +73,8 @@ def restore(state: dict[str, DataFrame], dumped: DataFrame, now_ms: int) -> dict
     schemas = {"sets": "array<struct<member:string>>", "zsets": "array<struct<member:string,score:double>>", "boards": "array<struct<member:string,score:bigint,data:string>>"}
     out = dict(state)
     for store, df in state.items():
+        if store in SKIPPED:
+            continue
         rows = dumped.where(F.col("store") == store)
         if store == "strings":
             new = rows.select("key", F.from_json("entry", "value STRING, expire_at_ms BIGINT").alias("e")).select("key", "e.*")
@@ -76,6 +86,12 @@ def restore(state: dict[str, DataFrame], dumped: DataFrame, now_ms: int) -> dict
     return out
 
 
+def restored_keys(dumped: DataFrame, now_ms: int) -> DataFrame:
+    """store, key of what ``restore`` puts into a state: skipped keys and expired strings are not."""
+    expiry = F.from_json("entry", "expire_at_ms BIGINT")["expire_at_ms"]
+    return dumped.where("store <> 'skipped'").where((F.col("store") != "strings") | expiry.isNull() | (expiry > now_ms)).select("store", "key").distinct()
+
+
 def delete_slots(state: dict[str, DataFrame], wanted: list[int], slots: int = SLOTS) -> dict[str, DataFrame]:
     """The state without the keys in the slots; stores of other kinds stay as they are."""
     return {store: _inside(df, wanted, slots, "left_anti").select(*df.columns) if store == "strings" or store in MEMBERS else df for store, df in state.items()}

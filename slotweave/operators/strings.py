@@ -6,9 +6,12 @@ that results are the same whenever they are computed.  A state has the columns k
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.operators.neighbours import spread_rank
+
 
 def replay(log: DataFrame) -> DataFrame:
     """key, value, expire_at_ms after the last entry; the last SET counts unless a DEL follows it.
@@ -87,6 +90,44 @@ def decayed_frequency(frequency: Column, last_access_ms: Column, now_ms: int) ->
     return F.greatest(frequency - F.floor((F.lit(now_ms) - last_access_ms) / 60_000), F.lit(0)).cast("bigint")
 
 
+FIRST_FREQUENCY, LOG_FACTOR, MOST_FREQUENCY = 5, 10, 255
+
+
+def chance(key: Column, idx: Column, seed: int) -> Column:
+    """A number from 0 to 1 (exclusive) for each access, the same each time."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key, idx.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def use_counters(accesses: DataFrame, seed: int = 0) -> DataFrame:
+    """key, last_access_ms, frequency of each key after ``accesses`` (idx, ts_ms, key): a slowly growing use counter.
+
+    A counter starts at 5 with the first access.  Each later one first takes off one for every whole idle minute,
+    then adds one with the chance 1 / (10 frequency + 1), up to 255.  The accesses of a key are a fold in the order
+    of idx, with one row of state.  Rows with a null are left out.
+    """
+    rows = accesses.select("idx", "ts_ms", "key").dropna().withColumn("p", chance(F.col("key"), F.col("idx"), seed))
+
+    def fold(batches):
+        at, last, frequency = None, 0, 0
+        for batch in batches:
+            out = []
+            for key, now, p in zip(batch["key"], batch["ts_ms"].tolist(), batch["p"].tolist()):
+                if key != at:
+                    if at is not None:
+                        out.append((at, last, frequency))
+                    at, last, frequency = key, now, FIRST_FREQUENCY
+                    continue
+                frequency = max(frequency - max((now - last) // 60_000, 0), 0)
+                last = now
+                if frequency < MOST_FREQUENCY and p < 1 / (frequency * LOG_FACTOR + 1):
+                    frequency += 1
+            yield pd.DataFrame(out, columns=["key", "last_access_ms", "frequency"])
+        if at is not None:
+            yield pd.DataFrame([(at, last, frequency)], columns=["key", "last_access_ms", "frequency"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "idx").mapInPandas(fold, "key STRING, last_access_ms BIGINT, frequency BIGINT")
+
+
 def evict(state: DataFrame, keep: int, policy: str, now_ms: int = 0, seed: int = 0) -> DataFrame:
     """The state cut down to ``keep`` keys: 'lru' drops the longest unused, 'lfu' the least used, 'arbitrary' any.
 
@@ -98,4 +139,5 @@ def evict(state: DataFrame, keep: int, policy: str, now_ms: int = 0, seed: int =
         "lfu": lambda: [decayed_frequency(F.col("frequency"), F.col("last_access_ms"), now_ms).desc(), F.col("key")],
         "arbitrary": lambda: [F.xxhash64(F.lit(seed), "key"), F.col("key")],
     }[policy]()
-    return state.orderBy(*order).limit(keep)
+    ranked = spread_rank(state.withColumn("_all", F.lit(0)), ["_all"], order, "_rank")  # no task sorts all keys
+    return ranked.where(F.col("_rank") < keep).select(*state.columns)

@@ -36,6 +36,23 @@ def first_divergence(left: DataFrame, right: DataFrame) -> DataFrame:
     return differs.groupBy("shard").agg(F.min("idx").alias("idx"))
 
 
+def merge_entries(log: DataFrame, offered: DataFrame, previous: DataFrame) -> DataFrame:
+    """The logs after each shard's ``offered`` entries have been appended behind ``previous`` (shard, prev_idx, prev_term).
+
+    An append is refused, and the log stays as it is, if the log has no entry at prev_idx or one of another term.
+    Entries that both hold, by idx and term, stay; from the first offered one that the log lacks or holds with
+    another term on, the log's own entries are dropped and the offered ones take their place.  A prev_idx below 0
+    fits every log.  Both logs hold each (shard, idx) once; columns are those of ``log``.
+    """
+    at = log.select("shard", F.col("idx").alias("prev_idx"), F.col("term").alias("_term"))
+    fits = previous.join(at, ["shard", "prev_idx"], "left").where((F.col("prev_idx") < 0) | (F.col("_term") == F.col("prev_term"))).select("shard", "prev_idx")
+    new = offered.join(fits, "shard").where("idx > prev_idx").drop("prev_idx")
+    held = log.select("shard", "idx", F.col("term").alias("_held"))
+    cut = new.join(held, ["shard", "idx"], "left").where("_held IS NULL OR _held <> term").groupBy("shard").agg(F.min("idx").alias("_cut"))
+    kept = log.join(cut, "shard", "left").where("_cut IS NULL OR idx < _cut").drop("_cut")
+    return kept.unionByName(new.join(cut, "shard").where("idx >= _cut").select(*log.columns))
+
+
 def up_to_date(left: DataFrame, right: DataFrame) -> DataFrame:
     """shard, left_wins: whether the left log ends with a higher term, or the same term and an index at least as high."""
     end = lambda df, name: df.groupBy("shard").agg(F.max(F.struct("term", "idx")).alias(name))

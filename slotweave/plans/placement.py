@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions.hashing import fnv1a64
 from slotweave.functions.keyspace import SLOTS, hash_slot
+from slotweave.workspace import materialize
 
 VNODES, EPSILON, BATCH = 160, 0.05, 512
 
@@ -52,6 +53,14 @@ def owners_frame(spark: SparkSession, owners: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(owners)), "slot INT, shard STRING")
 
 
+def small(slots: DataFrame, slot_count: int) -> DataFrame:
+    """A slot table to be broadcast: an error if it has more rows than there are slots."""
+    rows = materialize(slots, "slot-table")
+    if (n := rows.count()) > slot_count:
+        raise ValueError(f"a table of {slot_count} slots has {n} rows")
+    return F.broadcast(rows)
+
+
 def ring_lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS, vnodes: int = VNODES) -> DataFrame:
     ring = Ring(shards, vnodes)
     return owners_frame(spark, [ring.lookup(s) for s in range(slots)])
@@ -63,8 +72,16 @@ def slot_counts(shards: DataFrame, slots: DataFrame) -> DataFrame:
     return shards.select("shard").distinct().join(counted, "shard", "left").select("shard", F.coalesce("_n", F.lit(0)).cast("bigint").alias("slots"))
 
 
-def plan_moves(old: DataFrame, new: DataFrame) -> DataFrame:
-    """slot, from, to for each slot whose owner changes."""
+def settled(migrations: DataFrame) -> None:
+    """Refuse to plan while slots are still migrating."""
+    if n := migrations.select("slot").distinct().count():
+        raise ValueError(f"{n} slots are still migrating; plan again once they have settled")
+
+
+def plan_moves(old: DataFrame, new: DataFrame, migrations: DataFrame | None = None) -> DataFrame:
+    """slot, from, to for each slot whose owner changes; an error if ``migrations`` holds a marker."""
+    if migrations is not None:
+        settled(migrations)
     pairs = old.select("slot", F.col("shard").alias("from")).join(new.select("slot", F.col("shard").alias("to")), "slot")
     return pairs.where(~F.col("from").eqNullSafe(F.col("to")))
 
@@ -98,9 +115,10 @@ def with_owners(slots: DataFrame, changes: DataFrame) -> DataFrame:
     return slots.join(new, "slot", "full").select("slot", F.coalesce("_new", "shard").alias("shard"))
 
 
-def with_migrations(migrations: DataFrame, changes: DataFrame) -> DataFrame:
-    """Markers (slot, from, to, state) with those of ``changes`` put in or replaced."""
-    return migrations.join(changes.select("slot").distinct(), "slot", "left_anti").unionByName(changes.select(*migrations.columns))
+def with_migrations(migrations: DataFrame, changes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Markers (slot, from, to, state) with those of ``changes`` put in or replaced; ``keys`` names a slot, 'slot' alone by default."""
+    keys = keys or ["slot"]
+    return migrations.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes.select(*migrations.columns))
 
 
 def validate(slots: DataFrame, shards: DataFrame) -> DataFrame:
@@ -117,6 +135,18 @@ def install(current: DataFrame, offered: DataFrame, key: str, version: str = "ve
     return rows.groupBy(key).agg(F.max_by(columns, F.struct(version, "_mine")).alias("_doc")).select("_doc.*")
 
 
+def update(current: DataFrame, offered: DataFrame, key: str, version: str = "version") -> DataFrame:
+    """The current documents with those of ``offered`` in place, each newer than the one it replaces.
+
+    An offered document that isn't newer gets the current version plus one, so that every change is seen as one.
+    Of several offered documents of one key the newest counts.
+    """
+    newest = offered.groupBy(key).agg(F.max_by(F.struct(*current.columns), version).alias("_doc")).select("_doc.*")
+    held = current.select(F.col(key).alias("_key"), F.col(version).alias("_held"))
+    bumped = newest.join(held, F.col(key) == F.col("_key"), "left").withColumn(version, F.greatest(F.col(version), F.col("_held") + 1)).select(*current.columns)
+    return current.join(newest.select(key), key, "left_anti").unionByName(bumped)
+
+
 def routing_key(args: Column) -> Column:
     """The first argument of key, channel, pattern, member and id that is not empty."""
     return F.coalesce(*(F.nullif(F.try_element_at(args, F.lit(name)), F.lit("")) for name in ("key", "channel", "pattern", "member", "id")))
@@ -132,7 +162,7 @@ def route(commands: DataFrame, slots: DataFrame, migrations: DataFrame, writes:
     marked = slots.join(migrations.select("slot", F.lit(True).alias("_moving")).distinct(), "slot", "left")
     rows = commands.withColumn("_key", routing_key(F.col("args")))
     rows = rows.withColumn("slot", F.when(F.col("_key").isNull(), -1).otherwise(hash_slot(F.col("_key"), slot_count)).cast("int"))
-    rows = rows.join(F.broadcast(marked), "slot", "left").join(F.broadcast(lowest))  # at most slot_count rows, and one row
+    rows = rows.join(small(marked, slot_count), "slot", "left").join(F.broadcast(lowest))  # and one row
     decision = F.when((F.col("slot") >= 0) & F.col("_moving") & F.col("cmd").isin(writes), "retry").when(F.col("shard").isNull() & (F.col("slot") >= 0), "no owner").otherwise("serve")
     return rows.withColumn("decision", decision).withColumn("shard", F.when(F.col("slot") < 0, F.col("_lowest")).otherwise(F.col("shard"))).drop("_key", "_moving", "_lowest")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slotweave.engine import Engine
 from slotweave.functions import geo
 from slotweave.functions.keyspace import hash_slot, hash_tag
-from slotweave.operators import bloom, cms, geosearch, pubsub, ratelimit, slots, strings
+from slotweave.operators import bloom, cms, geosearch, pubsub, slots, strings
 from slotweave.plans import consensus, placement, status
 from slotweave.queries import Registry, table
 from slotweave.queries.stores import _KV, NOW, _z, kv_log
@@ -87,10 +87,15 @@ def bf_exists(spark, folder):
     return bloom.exists(bloom.madd(items, 10_000, 0.01), items, 10_000, 0.01)
 
 
-@query()
+@query("SELECT CAST(event_id % 8 AS VARCHAR) AS key, count(DISTINCT event_id * 7 + 100000000) AS asked, true AS some_absent, true AS within_rate FROM events GROUP BY ALL")
 def bf_false_positives(spark, folder):
-    items = _bloom_items(spark, folder)
-    return bloom.exists(bloom.madd(items, 10_000, 0.01), items.withColumn("item", F.concat(F.lit("x"), "item")), 10_000, 0.01).groupBy("present").agg(F.count(F.lit(1)).alias("n"))
+    """Items that were never added: whether filters filled up to their capacity say so, but for the rate they were made for."""
+    e = table(spark, folder, "events").select((F.col("event_id") % 8).cast("string").alias("key"), "event_id")
+    capacity = max(e.groupBy("key").count().agg(F.max("count")).first()[0] or 1, 1)
+    filters = bloom.madd(e.select("key", F.concat(F.lit("u"), "event_id").alias("item")), capacity, 0.01)
+    asked = bloom.exists(filters, e.select("key", F.concat(F.lit("u"), F.col("event_id") * 7 + 100_000_000).alias("item")), capacity, 0.01)
+    n, present = F.count(F.lit(1)), F.sum("present")
+    return asked.groupBy("key").agg(n.alias("asked"), (present < n).alias("some_absent"), (present <= 0.01 * n + 4 * F.sqrt(0.01 * n) + 3).alias("within_rate"))
 
 
 @query("SELECT CAST(event_id % 8 AS VARCHAR) AS key, CAST(10000 AS BIGINT) AS capacity, CAST(11984 AS BIGINT) AS size_bytes, CAST(7 AS BIGINT) AS hashes, CAST(0.01 AS DOUBLE) AS error_rate, count(*) AS inserted FROM events GROUP BY ALL")
@@ -105,6 +110,18 @@ def cms_query(spark, folder):
     return cms.query(cms.incrby(adds, width, depth), adds, width, depth)
 
 
+@query("SELECT count(DISTINCT user_id) AS items, CAST(0 AS BIGINT) AS too_low, true AS some_too_high, true AS within_error FROM events")
+def cms_collisions(spark, folder):
+    """A narrow sketch: no estimate is too low, some collide, and only a part that the depth allows is off by more than the width says."""
+    adds = table(spark, folder, "events").select(F.lit("all").alias("key"), F.concat(F.lit("u"), "user_id").alias("item"), F.lit(1).cast("bigint").alias("n"))
+    width, depth = cms.dimensions(0.02, 0.1)
+    true = adds.groupBy("item").agg(F.count(F.lit(1)).alias("true"))
+    total = adds.agg(F.count(F.lit(1)).alias("total"))
+    rows = cms.query(cms.incrby(adds, width, depth), adds, width, depth).join(true, "item").withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")  # one row
+    over = F.count_if(F.col("estimate") > F.col("true") + F.lit(0.02) * F.col("total"))
+    return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("estimate") < F.col("true")).alias("too_low"), (F.count_if(F.col("estimate") > F.col("true")) > 0).alias("some_too_high"), (over <= 0.1 * F.count(F.lit(1))).alias("within_error"))
+
+
 @query("SELECT CAST(2000 AS BIGINT) AS width, CAST(7 AS BIGINT) AS depth")
 def cms_initbyprob(spark, folder):
     width, depth = cms.dimensions(0.001, 0.01)
@@ -120,21 +137,6 @@ def _calls(spark, folder, kind, limit, window):
     return e.select(F.col("event_id").alias("idx"), millis.alias("ts_ms"), F.col("user_id").cast("string").alias("key"), F.lit(limit).cast("bigint").alias("limit"), F.lit(window).cast("bigint").alias("window_ms"), F.lit(kind).alias("type"))
 
 
-@query("SELECT event_id AS idx, CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20 AS allowed FROM events")
-def ratelimit_fixed(spark, folder):
-    return ratelimit.check(_calls(spark, folder, "fixed", 20, 10**12)).select("idx", "key", "allowed")
-
-
-@query()
-def ratelimit_sliding(spark, folder):
-    return ratelimit.check(_calls(spark, folder, "sliding", 3, 86_400_000))
-
-
-@query()
-def ratelimit_token(spark, folder):
-    return ratelimit.check(_calls(spark, folder, "token", 2, 86_400_000))
-
-
 # ---------------------------------------------------------------- channels
 
 
@@ -156,7 +158,7 @@ _PS = """WITH pub AS (SELECT event_id AS idx, event_type || '.' || (user_id % 10
 n AS (SELECT n_nationkey AS n, list_extract(['click', 'view', 'purchase', 'signup', 'error'], CAST(n_nationkey % 5 + 1 AS INT)) AS k FROM nation),
 sub AS (SELECT 'sub-' || n AS sub_id, 'channel' AS kind, k || '.' || (n % 10) AS topic FROM n
   UNION ALL SELECT 'sub-' || n, 'pattern', CASE n % 3 WHEN 0 THEN k || '.*' WHEN 1 THEN '*.[1-3]' ELSE 'p?rchase.?' END FROM n),
-out AS (SELECT idx, sub_id, 'message' AS kind, channel, NULL AS pattern, payload FROM pub JOIN sub ON sub.kind = 'channel' AND topic = channel
+out AS (SELECT idx, sub_id, 'message' AS kind, channel, CAST(NULL AS VARCHAR) AS pattern, payload FROM pub JOIN sub ON sub.kind = 'channel' AND topic = channel
   UNION ALL SELECT idx, sub_id, 'pmessage', channel, topic, payload FROM pub JOIN sub ON sub.kind = 'pattern' AND channel GLOB topic),
 box AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY idx, kind, channel, pattern) AS seq FROM out) """
 
@@ -360,13 +362,14 @@ def shards_for_node(spark, folder):
 _MOVES = "SELECT cluster_id, delivery_id, m.slot AS slot, m.\"from\" AS \"from\", m.\"to\" AS \"to\", m.state AS state FROM (SELECT cluster_id, delivery_id, unnest(migrations) AS m FROM topology_snapshots WHERE delivery_id IN (SELECT max(delivery_id) FROM topology_snapshots GROUP BY cluster_id))"
 
 
-@query(f"SELECT slot, \"from\", \"to\", CASE WHEN slot % 2 = 0 THEN 'cleanup' ELSE state END AS state FROM (SELECT DISTINCT slot, 'a' AS \"from\", 'b' AS \"to\", 'migrating' AS state FROM ({_MOVES}) WHERE slot IS NOT NULL)")
+@query(f"SELECT DISTINCT cluster_id, slot, CASE WHEN slot % 2 = 0 THEN \"to\" ELSE \"from\" END AS \"from\", \"to\", CASE WHEN slot % 2 = 0 THEN 'cleanup' ELSE state END AS state FROM ({_MOVES}) WHERE slot IS NOT NULL")
 def with_migrations(spark, folder):
+    """The markers of every cluster's last delivery, those of even slots replaced."""
     t = table(spark, folder, "topology_snapshots")
     last = t.join(t.groupBy("cluster_id").agg(F.max("delivery_id").alias("delivery_id")).select("delivery_id"), "delivery_id", "left_semi")
-    slot = last.select(F.explode("migrations").alias("m")).select(F.col("m.slot").alias("slot")).dropna().distinct()
-    markers = slot.select("slot", F.lit("a").alias("from"), F.lit("b").alias("to"), F.lit("migrating").alias("state"))
-    return placement.with_migrations(markers, markers.where("slot % 2 = 0").withColumn("state", F.lit("cleanup")))
+    markers = last.select("cluster_id", F.explode("migrations").alias("m")).select("cluster_id", "m.*").where("slot IS NOT NULL").distinct()
+    changes = markers.where("slot % 2 = 0").withColumn("from", F.col("to")).withColumn("state", F.lit("cleanup")).distinct()
+    return placement.with_migrations(markers, changes, ["cluster_id", "slot"])
 
 
 @query(_GEO + "SELECT CAST(id AS VARCHAR) AS member, CAST((standard >> 2) << 2 AS BIGINT) AS bits FROM bits")
@@ -374,10 +377,16 @@ def geo_hash_decode(spark, folder):
     return geo_hash(spark, folder).select("member", geo.geohash_bits(F.col("hash")).alias("bits"))
 
 
-@query("SELECT cluster_id, max(version) AS version FROM topology_snapshots GROUP BY cluster_id")
+@query(
+    """WITH v AS (SELECT cluster_id, max(version) AS version FROM topology_snapshots GROUP BY cluster_id), d AS (SELECT v.cluster_id, v.version, min(delivery_id) AS delivery_id FROM v JOIN topology_snapshots t ON t.cluster_id = v.cluster_id AND t.version = v.version GROUP BY ALL)
+SELECT d.cluster_id, d.version, d.delivery_id, t.slot_count, t.vnodes, t.epsilon, array_to_string(list_transform(t.slots, lambda s: coalesce(s, '')), ',') AS slots, array_to_string(list_sort(map_keys(t.shards)), ',') AS shards FROM d JOIN topology_snapshots t ON t.delivery_id = d.delivery_id"""
+)
 def install_topology(spark, folder):
-    t = table(spark, folder, "topology_snapshots").select("cluster_id", "version", "slot_count")
-    return placement.install(t.where("version % 2 = 0"), t.where("version % 2 = 1"), "cluster_id").select("cluster_id", "version")
+    """The whole newest document of each cluster; of several deliveries of one version the first is installed."""
+    t = table(spark, folder, "topology_snapshots").select("cluster_id", "version", "delivery_id", "slot_count", "vnodes", "epsilon", F.array_join("slots", ",", "").alias("slots"), F.array_join(F.sort_array(F.map_keys("shards")), ",").alias("shards"))
+    first = t.groupBy("cluster_id", "version").agg(F.min("delivery_id").alias("delivery_id"))
+    t = t.join(first.select("delivery_id"), "delivery_id", "left_semi").select(*t.columns)
+    return placement.install(t.where("version % 2 = 0"), t.where("version % 2 = 1"), "cluster_id")
 
 
 @query(
@@ -413,23 +422,27 @@ def delete_slot(spark, folder):
 _LATEST = """WITH latest AS (SELECT node_id, arg_max({'probed_at': probed_at, 'shards': shards}, (probed_at, probe_id)) AS p FROM node_probes WHERE reachable AND node_id IS NOT NULL GROUP BY node_id),
 rep AS (SELECT node_id, p.probed_at AS probed_at, s FROM (SELECT node_id, p, unnest(p.shards) AS s FROM latest) WHERE s IS NOT NULL AND s.shard_id IS NOT NULL),
 mem AS (SELECT shard, node FROM (SELECT s.shard_id AS shard, unnest(s.members) AS node FROM rep) WHERE node IS NOT NULL GROUP BY ALL),
-views AS (SELECT mem.shard, count(*) AS members, count(rep.node_id) AS healthy, coalesce(max(rep.s.term), 0) AS term, arg_max(rep.s.leader_id, mem.node) FILTER (rep.s.leader_id <> '') AS leader
-  FROM mem LEFT JOIN rep ON rep.node_id = mem.node AND rep.s.shard_id = mem.shard GROUP BY mem.shard) """
+own AS (SELECT s AS shard, count(*) AS n FROM (SELECT unnest(slots) AS s FROM topology_snapshots WHERE delivery_id IN (SELECT max(delivery_id) FROM topology_snapshots GROUP BY cluster_id)) GROUP BY s),
+seen AS (SELECT mem.shard, count(*) AS members, count(rep.node_id) AS healthy, coalesce(max(rep.s.term), 0) AS term, arg_max(rep.s.leader_id, mem.node) FILTER (rep.s.leader_id <> '') AS leader
+  FROM mem LEFT JOIN rep ON rep.node_id = mem.node AND rep.s.shard_id = mem.shard GROUP BY mem.shard),
+views AS (SELECT seen.*, CAST(coalesce(own.n, 0) AS BIGINT) AS slots, coalesce(own.n, 0) / 16384.0::DOUBLE AS share FROM seen LEFT JOIN own ON own.shard = seen.shard) """
 
 
 def _views(spark, folder):
     reported = status.reported_shards(status.latest_probes(table(spark, folder, "node_probes")))
     members = reported.select(F.col("shard_id").alias("shard"), F.explode("members").alias("node")).where("node IS NOT NULL").distinct()
-    none = spark.createDataFrame([], "slot INT, shard STRING")
-    return status.shard_views(members, none, reported, 16_384)
+    t = table(spark, folder, "topology_snapshots")
+    last = t.groupBy("cluster_id").agg(F.max("delivery_id").alias("delivery_id")).select("delivery_id")
+    owned = t.join(last, "delivery_id", "left_semi").select(F.posexplode("slots").alias("slot", "shard"))
+    return status.shard_views(members, owned, reported, 16_384)
 
 
 @query(_LATEST + "SELECT * FROM views")
 def shard_views(spark, folder):
-    return _views(spark, folder).drop("slots", "share")
+    return _views(spark, folder)
 
 
-@query(_LATEST + "SELECT count(*) AS shards, count(*) FILTER (coalesce(leader, '') <> '') AS with_leader, count(*) FILTER (healthy > members // 2) AS with_quorum, CAST(sum(healthy) AS BIGINT) AS healthy, CAST(0 AS BIGINT) AS spread FROM views")
+@query(_LATEST + "SELECT count(*) AS shards, count(*) FILTER (coalesce(leader, '') <> '') AS with_leader, count(*) FILTER (healthy > members // 2) AS with_quorum, CAST(sum(healthy) AS BIGINT) AS healthy, max(slots) - min(slots) AS spread FROM views")
 def status_roll_up(spark, folder):
     return status.roll_up(_views(spark, folder))
 
@@ -523,6 +536,9 @@ def latest_configuration(spark, folder):
     return c.select("shard", "idx", F.array_join("voters", ",").alias("voters"), F.array_join("learners", ",").alias("learners"))
 
 
-@query()
+@query("""WITH c AS (SELECT shard, idx, min(decode(data)) AS d FROM command_log WHERE cmd = '__raft_conf__' AND data IS NOT NULL GROUP BY shard, idx), v AS (SELECT shard, idx, json_keys(d, '$.voters') AS v FROM c WHERE json_valid(d) AND json_type(d, '$.voters') = 'OBJECT'),
+b AS (SELECT *, lag(v) OVER (PARTITION BY shard ORDER BY idx) AS p FROM v)
+SELECT shard, idx, changed FROM (SELECT shard, idx, CAST(len(list_filter(v, lambda x: NOT list_contains(p, x))) + len(list_filter(p, lambda x: NOT list_contains(v, x))) AS BIGINT) AS changed FROM b WHERE p IS NOT NULL) WHERE changed > 1""")
 def unsafe_configuration_steps(spark, folder):
-    return consensus.unsafe_steps(table(spark, folder, "command_log"))
+    log = table(spark, folder, "command_log").where("cmd = '__raft_conf__' AND data IS NOT NULL")
+    return consensus.unsafe_steps(log.groupBy("shard", "idx").agg(F.lit("__raft_conf__").alias("cmd"), F.min(F.decode("data", "UTF-8")).alias("data")))

@@ -103,9 +103,16 @@ def kv_evict_lfu(spark, folder):
     return strings.evict(_used(spark, folder), 50, "lfu", NOW)
 
 
-@query()
+@query("SELECT CAST(50 AS BIGINT) AS kept, CAST(50 AS BIGINT) AS different, CAST(50 AS BIGINT) AS unchanged, true AS seeded")
 def kv_evict_arbitrary(spark, folder):
-    return strings.evict(_used(spark, folder), 50, "arbitrary", seed=3)
+    """What must hold for any choice: as many keys as asked for, each once and as it was, and another choice by another seed."""
+    used = _used(spark, folder)
+    kept = strings.evict(used, 50, "arbitrary", seed=3)
+    other = strings.evict(used, 50, "arbitrary", seed=4).select(F.col("key").alias("again"))
+    same = kept.join(used, ["key", "last_access_ms", "frequency"]).agg(F.count(F.lit(1)).alias("unchanged"))
+    both = kept.join(other, F.col("key") == F.col("again"), "left").agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("key").alias("different"), (F.count("again") < 50).alias("seeded"))
+    k = lambda df: df.withColumn("_k", F.lit(0))
+    return k(both).join(k(same), "_k").select("kept", "different", "unchanged", "seeded")  # one row each
 
 
 @query(_USED + f"SELECT key, CAST(greatest(frequency - ({NOW} - last_access_ms) // 60000, 0) AS BIGINT) AS frequency FROM used")
@@ -116,14 +123,19 @@ def kv_lfu_counter(spark, folder):
 # ---------------------------------------------------------------- sets
 
 
+def _member(n):
+    """A member for every 97 events, so that the sets grow with the table and members come more than once."""
+    return F.floor(n / 97).cast("string")
+
+
 def _set_log(spark, folder):
     e = table(spark, folder, "events")
-    return e.select(F.col("event_id").alias("idx"), F.when(F.col("event_type") == "error", "SREM").otherwise("SADD").alias("cmd"), (F.col("user_id") % 40).cast("string").alias("key"), (F.col("event_id") % 97).cast("string").alias("member"))
+    return e.select(F.col("event_id").alias("idx"), F.when(F.col("event_type") == "error", "SREM").otherwise("SADD").alias("cmd"), (F.col("user_id") % 40).cast("string").alias("key"), _member(F.col("event_id")).alias("member"))
 
 
-_SET = """WITH log AS (SELECT event_id AS idx, CAST(user_id % 40 AS VARCHAR) AS key, CAST(event_id % 97 AS VARCHAR) AS member, event_type <> 'error' AS put FROM events),
+_SET = """WITH log AS (SELECT event_id AS idx, CAST(user_id % 40 AS VARCHAR) AS key, CAST(event_id // 97 AS VARCHAR) AS member, event_type <> 'error' AS put FROM events),
 state AS (SELECT key, member FROM log GROUP BY key, member HAVING arg_max(put, idx)),
-asked AS (SELECT DISTINCT CAST(user_id % 45 AS VARCHAR) AS key, CAST(event_id % 100 AS VARCHAR) AS member FROM events WHERE event_type = 'signup') """
+asked AS (SELECT DISTINCT CAST(user_id % 45 AS VARCHAR) AS key, CAST(event_id // 97 AS VARCHAR) AS member FROM events WHERE event_type = 'signup') """
 
 
 def _set_state(spark, folder):
@@ -131,10 +143,10 @@ def _set_state(spark, folder):
 
 
 def _set_asked(spark, folder):
-    return table(spark, folder, "events").where("event_type = 'signup'").select((F.col("user_id") % 45).cast("string").alias("key"), (F.col("event_id") % 100).cast("string").alias("member")).distinct()
+    return table(spark, folder, "events").where("event_type = 'signup'").select((F.col("user_id") % 45).cast("string").alias("key"), _member(F.col("event_id")).alias("member")).distinct()
 
 
-@query("SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS key, CAST(event_id % 97 AS VARCHAR) AS member FROM events")
+@query("SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS key, CAST(event_id // 97 AS VARCHAR) AS member FROM events")
 def set_sadd(spark, folder):
     return sets.sadd(_set_log(spark, folder))
 
@@ -171,14 +183,22 @@ def set_smismember(spark, folder):
     return sets.smismember(_set_state(spark, folder), asked).withColumn("flags", F.array_join(F.col("flags").cast("array<string>"), ","))
 
 
-@query()
+@query(_SET + "SELECT key, least(count(*), 3) AS drawn, least(count(*), 3) AS members FROM state GROUP BY key")
 def set_srand(spark, folder):
-    return sets.srand(_set_state(spark, folder), 3, seed=5)
+    """What must hold for any draw: up to three different members of each set."""
+    state = _set_state(spark, folder)
+    drawn = sets.srand(state, 3, seed=5)
+    inside = state.withColumn("_there", F.lit(1))
+    return drawn.join(inside, ["key", "member"], "left").groupBy("key").agg(F.count_distinct("member").alias("drawn"), F.count("_there").alias("members"))
 
 
-@query()
+@query(_SET + "SELECT key, greatest(count(*) - 3, 0) AS rest, least(count(*), 3) AS popped, CAST(0 AS BIGINT) AS in_both FROM state GROUP BY key")
 def set_spop_rest(spark, folder):
-    return sets.spop(_set_state(spark, folder), 3, seed=5)[1]
+    """What must hold for any pop: the members are split into those popped and the rest."""
+    state = _set_state(spark, folder)
+    popped, rest = sets.spop(state, 3, seed=5)
+    marked = state.join(popped.select("key", "member", F.lit(1).alias("_popped")), ["key", "member"], "left").join(rest.select("key", "member", F.lit(1).alias("_rest")), ["key", "member"], "left")
+    return marked.groupBy("key").agg(F.count("_rest").alias("rest"), F.count("_popped").alias("popped"), F.count_if((F.col("_rest") == 1) & (F.col("_popped") == 1)).alias("in_both"))
 
 
 @query(_SET + "SELECT * FROM state INTERSECT SELECT * FROM asked")
@@ -220,11 +240,11 @@ def zset_zadd_nx(spark, folder):
 
 
 @query(_Z + """, late AS (SELECT key, member, arg_max(score, idx) AS score FROM log WHERE idx % 3 = 0 GROUP BY key, member),
-early AS (SELECT key, member, arg_max(score, idx) AS score FROM log WHERE idx % 3 = 1 GROUP BY key, member)
+early AS (SELECT key, member, arg_max(score, idx) AS score FROM log WHERE idx % 3 <> 0 GROUP BY key, member)
 SELECT key, member, coalesce(late.score, early.score) AS score FROM early LEFT JOIN late USING (key, member)""")
 def zset_zadd_xx(spark, folder):
     log = _zlog(spark, folder)
-    return zsets.zadd_xx(zsets.zadd(log.where("idx % 3 = 1")), log.where("idx % 3 = 0"))
+    return zsets.zadd_xx(zsets.zadd(log.where("idx % 3 <> 0")), log.where("idx % 3 = 0"))
 
 
 @query(_Z + "SELECT key, member, sum(score) AS score FROM log GROUP BY key, member")
@@ -295,6 +315,11 @@ def zset_zpopmax(spark, folder):
     return zsets.zpop(_z(spark, folder), 5)[0]
 
 
+@query(_Z + "SELECT key, member, score, rank FROM up WHERE rank < 5")
+def zset_zpopmin(spark, folder):
+    return zsets.zpop(_z(spark, folder), 5, highest=False)[0]
+
+
 @query(_Z + "SELECT key, member, score FROM up WHERE rank >= 5")
 def zset_zpopmin_rest(spark, folder):
     return zsets.zpop(_z(spark, folder), 5, highest=False)[1].select("key", "member", "score")

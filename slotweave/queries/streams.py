@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from slotweave.queries import Registry, table
 from slotweave.queries.cluster import _PS, _calls, _delivered
+from slotweave.queries.replays import limiter_sql
 from slotweave.queries.stores import _KV, kv_log
 from slotweave.sources.wal import WalSource
 from slotweave.streaming import stateful
@@ -25,6 +26,23 @@ def _streamed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
+BATCHES, FILES = 3, 4
+
+
+def _in_order(df: DataFrame, name: str) -> DataFrame:
+    """A written copy of ``df`` as a stream of several micro-batches, each of higher idx than those before."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    low, high = df.agg(F.min("idx"), F.max("idx")).first()
+    if low is None:
+        return _streamed(df, name)
+    step = (high - low) // BATCHES + 1
+    for n in range(BATCHES):  # files are taken by the time they were written
+        part = df.where(F.col("idx").between(low + n * step, low + (n + 1) * step - 1))
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
 def _to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream until its input ends; each micro-batch is written under its number, so a repeated one replaces itself."""
     spark = stream.sparkSession
@@ -50,15 +68,15 @@ def stream_kv_replay(spark, folder):
     return last.where("r.live").select("key", "r.value", "r.expire_at_ms")
 
 
-@query("SELECT event_id AS idx, CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20 AS allowed FROM events")
+@query(limiter_sql("sliding", 3, 86_400_000))
 def stream_ratelimit(spark, folder):
-    calls = _streamed(_calls(spark, folder, "fixed", 20, 10**12).repartition(1), "stream-calls")
-    return _to_end(stateful.check_limits(calls), "stream-calls-out", "append").select("idx", "key", "allowed")
+    calls = _in_order(_calls(spark, folder, "sliding", 3, 86_400_000), "stream-calls")
+    return _to_end(stateful.check_limits(calls), "stream-calls-out", "append").drop("_batch")
 
 
 @query(_PS + "SELECT sub_id, seq, idx, payload FROM box WHERE seq <= 128")
 def stream_mailboxes(spark, folder):
-    delivered = _streamed(_delivered(spark, folder).select("idx", "sub_id", "kind", "channel", "payload").coalesce(1), "stream-box")
+    delivered = _in_order(_delivered(spark, folder).select("idx", "sub_id", "kind", "channel", "payload"), "stream-box")
     return _to_end(stateful.fill_mailboxes(delivered), "stream-box-out", "append").select("sub_id", "seq", "idx", "payload")
 
 

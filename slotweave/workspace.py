@@ -45,6 +45,27 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file by one rename: a reader sees the old text or the new one, never a part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    out = staged.getFileSystem(conf).create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(staged, target, overwrite)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is no such file."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())  # one small file
+
+
 def release(spark: SparkSession) -> int:
     """Delete every intermediate table that this process has written; frames that read them end with it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -1,5 +1,6 @@
 """Golden values, the cases of the store operators, and batch against fold against stream."""
 
+import json
 import math
 import random
 
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from slotweave.engine import COMMANDS, CommandError, Engine
 from slotweave.functions import bounds, geo, glob, hashing, keyspace, resp
-from slotweave.operators import bloom, boards, cms, geosearch, neighbours, pubsub, ratelimit, sets, slots, strings, zsets
-from slotweave.plans import consensus, placement, status
+from slotweave.operators import bloom, boards, cms, geosearch, neighbours, pubsub, ratelimit, replay, sets, slots, strings, zsets
+from slotweave.plans import consensus, migration, placement, status
 from slotweave.sources import topology, wal
 
 
@@ -310,3 +311,177 @@ def test_streams_equal_batch(spark, data):
 
     batch = sorted(map(tuple, strings.replay(stores.kv_log(spark, data)).select("key", "value", "expire_at_ms").collect()), key=repr)
     assert sorted(map(tuple, streams.stream_kv_replay(spark, data).select("key", "value", "expire_at_ms").collect()), key=repr) == batch
+
+def test_mixed_log_against_a_fold(spark, rows):
+    """Sorted sets, boards and strings from one log in any order of arrival, against one command after the other."""
+    rng = random.Random(4)
+    log, zset, board, text = [], {}, {}, {}
+    for idx in range(900):
+        key, member = rng.choice("ab"), rng.choice("xyz")
+        n = rng.randint(-5, 9)
+        cmd = rng.choice(["ZADD", "ZADD", "ZINCRBY", "ZREM", "SL_ADD", "SL_DELETE", "SET", "INCR", "DEL", "PING"])
+        args = {"key": key, "member": member}
+        own = (key, member)
+        if cmd == "ZADD":
+            mode = rng.choice(["", "nx", "xx", "both"])
+            args["score"] = str(n)
+            args |= {"nx": "true"} if mode in ("nx", "both") else {}
+            args |= {"xx": "TRUE"} if mode in ("xx", "both") else {}
+            if mode == "" or mode == "nx" and own not in zset or mode == "xx" and own in zset:
+                zset[own] = float(n)
+        elif cmd == "ZINCRBY":
+            args["increment"] = str(n)
+            zset[own] = zset.get(own, 0.0) + n
+        elif cmd == "ZREM":
+            args["1"] = "x"
+            zset.pop(own, None), zset.pop((key, "x"), None)
+        elif cmd == "SL_ADD":
+            args |= {"score": str(n)} | ({"data": f"d{idx}"} if n > 0 else {})
+            board[own] = (board.get(own, (0, None))[0] + n, args.get("data") or board.get(own, (0, None))[1])
+        elif cmd == "SL_DELETE":
+            board.pop(own, None)
+        elif cmd == "SET":
+            args = {"key": key, "value": rng.choice(["7", "-3", "word", ""])}
+            text[key] = args["value"]
+        elif cmd == "INCR":
+            if key not in text:
+                text[key] = "1"
+            elif text[key].lstrip("-").isdigit():
+                text[key] = str(int(text[key]) + 1)
+        elif cmd == "DEL":
+            args = {"key": key, "1": "b", "3": "a"} if n > 5 else {"key": key}
+            text.pop(key, None)
+            n > 5 and text.pop("b", None)
+        log.append(("s", idx, 1, cmd, json.dumps({"cmd": cmd, "args": args}).encode()))
+    log += [("s", 901, 1, "", b"{"), ("s", 902, 1, "", None), ("s", 903, 1, "", b'{"cmd":"ZADD"}'), ("s", 904, 1, "", b'{"cmd":"ZADD","args":{"key":"a","member":"q","score":"x"}}'), (None, 905, 1, "", log[0][4])]
+    rng.shuffle(log)
+    df = spark.createDataFrame(log + log[:40], "shard STRING, idx BIGINT, term BIGINT, cmd STRING, data BINARY")
+    for block in (64, 1 << 20):
+        assert {(r.key, r.member): r.score for r in replay.zsets(df, block).collect()} == zset
+        assert {(r.key, r.member): (r.score, r.data) for r in replay.boards(df, block).collect()} == board
+    assert {r.key: r.value for r in replay.strings(df).collect()} == text
+    geo_ = spark.createDataFrame([("s", 1, 1, "", b'{"cmd":"GEOADD","args":{"key":"g","member":"Palermo","longitude":"13.361389","latitude":"38.115556"}}')], df.schema)
+    assert rows(replay.zsets(geo_)) == [("s", "g", "Palermo", 3479099956230698.0)]
+    assert replay.zsets(df.limit(0)).count() == replay.strings(df.limit(0)).count() == replay.sets(df.limit(0)).count() == 0
+
+
+def test_changes_put_together():
+    """Two changes in a row do the same as their sum, on a missing record and on one that is there."""
+    ops = [replay.single_change(op, n) for op in ("put", "put_new", "put_old", "add", "end") for n in (2.0, -3.0)]
+    for a in ops:
+        for b in ops:
+            for c in ops:
+                for start in (None, 5.0):
+                    want = replay.applied(c, replay.applied(b, replay.applied(a, start)))
+                    assert replay.applied(replay.together(replay.together(a, b), c), start) == replay.applied(replay.together(a, replay.together(b, c)), start) == want
+
+
+def test_use_counters_and_limiter_start(spark, rows):
+    log = spark.createDataFrame([(i, i * 1000, "k") for i in range(50)] + [(60, 50_000 + 600_000, "k"), (1, 5, "once"), (None, 5, "x"), (3, None, "x")], "idx BIGINT, ts_ms BIGINT, key STRING")
+    got = {r.key: (r.last_access_ms, r.frequency) for r in strings.use_counters(log, seed=1).collect()}
+    assert got["once"] == (5, 5) and got["k"][0] == 650_000 and 0 <= got["k"][1] <= 1 and len(got) == 2
+    calls = [(1, 0, "k", 1, 1000, "fixed", "INIT"), (2, 900, "k", 1, 1000, "fixed", None), (3, 950, "k", 1, 1000, "fixed", "CHECK"), (4, 1000, "k", 1, 1000, "fixed", "CHECK"), (5, 1001, "k", 9, 9, "fixed", "INIT")]
+    df = spark.createDataFrame(calls, "idx BIGINT, ts_ms BIGINT, key STRING, `limit` BIGINT, window_ms BIGINT, type STRING, cmd STRING")
+    assert rows(ratelimit.check(df)) == [(2, "k", True, 0, 0, "fixed"), (3, "k", False, 0, 50, "fixed"), (4, "k", True, 0, 0, "fixed")]
+
+
+def test_drained_mailboxes(spark):
+    rng = random.Random(9)
+    sent = [(i, rng.choice("ab"), "message", "c", None, "x") for i in range(300)]
+    polls = [(i, rng.choice("ab"), rng.randint(0, 6)) for i in range(0, 300, 4)]
+    got = pubsub.drained(spark.createDataFrame(sent, "idx BIGINT, sub_id STRING, kind STRING, channel STRING, pattern STRING, payload STRING"), spark.createDataFrame(polls, "idx BIGINT, sub_id STRING, most INT"), size=7).collect()
+    box, want = {"a": [0, 0, 0], "b": [0, 0, 0]}, set()
+    for idx, order, own, most in sorted([(i, 0, s, 0) for i, s, *_ in sent] + [(i, 1, s, m) for i, s, m in polls]):
+        state = box[own]
+        if not order:
+            full = state[0] - state[1] >= 7
+            state[2 if full else 0] += 1
+            want.add((own, idx, "copy", None if full else state[0], None, None))
+        else:
+            n = min(most, state[0] - state[1])
+            want.add((own, idx, "poll", None, n, state[2]))
+            state[1], state[2] = state[1] + n, 0
+    assert {(r.sub_id, r.idx, r.event, r.seq, r.delivered, r.dropped) for r in got} == want and len(got) == len(want)
+
+
+def test_globs_meet_by_their_beginning(spark):
+    topics = ["news.*", "news.sport", "*", "?ews.a", "n[aeo]ws.*", "\\*x", "news", "", "ne*", "zz*"]
+    names = ["news.a", "news.sport", "news", "nows.b", "*x", "", "zebra"]
+    got = pubsub.matching(spark.createDataFrame([(n,) for n in names + [None]], "channel STRING"), spark.createDataFrame([(t,) for t in topics + [None]], "topic STRING"))
+    import re
+
+    assert {tuple(r) for r in got.collect()} == {(n, t) for n in names for t in topics if re.match(glob.glob_regex(t), n)}
+    assert pubsub.matching(spark.createDataFrame([("a",)], "channel STRING"), spark.createDataFrame([], "topic STRING")).count() == 0
+
+
+def test_migration_steps(spark, rows):
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    source = {"strings": frame([("a", "1", None), ("b", "2", 50), ("c", "3", None)], "key STRING, value STRING, expire_at_ms BIGINT"), "sets": frame([("a", "m")], "key STRING, member STRING"), "bloom": frame([("a",)], "key STRING")}
+    target = {"strings": frame([("a", "old", None), ("b", "old", None)], "key STRING, value STRING, expire_at_ms BIGINT"), "sets": frame([], "key STRING, member STRING")}
+    slots_ = sorted({keyspace.slot_of("a", 64), keyspace.slot_of("b", 64)} - {keyspace.slot_of("c", 64)})
+    none = frame([(63, "x", "y", "copying")], "slot INT, from STRING, to STRING, state STRING")
+    start = migration.Cluster(3, frame([(s, "p") for s in range(64)], "slot INT, shard STRING"), none, {"p": source, "q": target})
+    done, report = migration.migrate(start, "p", "q", slots_, 100, 64)
+    assert done.version == 5 and report == migration.Moved(slots_, "p", "q", 2, ["a (bloom)"])
+    assert rows(done.states["p"]["strings"]) == [("c", "3", None)] and rows(done.states["p"]["sets"]) == []
+    assert rows(done.states["q"]["strings"]) == [("a", "1", None), ("b", "old", None)] and rows(done.states["q"]["sets"]) == [("a", "m")]
+    assert {r.slot for r in done.owners.collect() if r.shard == "q"} == set(slots_) and rows(done.migrations) == rows(none)
+    for step in ("dump", "restore"):
+        given_up, report = migration.migrate(start, "p", "q", slots_, 100, 64, fail=step)
+        assert report.error and given_up.version == 5 and rows(given_up.owners) == rows(start.owners) and rows(given_up.migrations) == rows(none)
+        assert rows(given_up.states["p"]["strings"]) == rows(source["strings"]) and rows(given_up.states["q"]["strings"]) == rows(target["strings"])
+    assert migration.migrate(start, "p", "q", slots_, 100, 64, fail="mark")[0] is start
+    stuck, _ = migration.migrate(start, "p", "q", slots_, 100, 64, fail="flip")
+    assert stuck.version == 4 and stuck.migrations.count() == 1 + len(slots_)
+    uncleaned, report = migration.migrate(start, "p", "q", slots_, 100, 64, fail="delete")
+    assert report.error and uncleaned.version == 5 and rows(uncleaned.states["p"]["strings"]) == rows(source["strings"])
+    with pytest.raises(ValueError):
+        migration.migrate(start, "p", "q", slots_, 100, 64, fail="other")
+    with pytest.raises(ValueError):
+        placement.plan_moves(start.owners, done.owners, start.migrations)
+    assert placement.plan_moves(start.owners, done.owners, none.limit(0)).count() == len(slots_)
+
+
+def test_update_merge_and_saved_state(spark, rows, tmp_path):
+    docs = lambda data: spark.createDataFrame(data, "cluster STRING, version BIGINT, text STRING")
+    current = docs([("a", 5, "x"), ("b", 5, "x"), ("c", 5, "x")])
+    assert rows(placement.update(current, docs([("a", 3, "y"), ("b", 9, "y"), ("b", 8, "z"), ("d", 2, "y")]), "cluster")) == [("a", 6, "y"), ("b", 9, "y"), ("c", 5, "x"), ("d", 2, "y")]
+    log = lambda data: spark.createDataFrame(data, "shard STRING, idx BIGINT, term BIGINT")
+    held = log([(s, i, 1) for s in "abcd" for i in range(5)])
+    offered = log([("a", 3, 1), ("a", 4, 1), ("b", 3, 1), ("b", 4, 2), ("b", 5, 2), ("c", 3, 2), ("d", 0, 2), ("d", 1, 2)])
+    previous = spark.createDataFrame([("a", 2, 1), ("b", 2, 1), ("c", 2, 9), ("d", -1, 0)], "shard STRING, prev_idx BIGINT, prev_term BIGINT")
+    merged = rows(consensus.merge_entries(held, offered, previous))
+    assert merged == sorted([("a", i, 1) for i in range(5)] + [("b", i, 1) for i in range(4)] + [("b", 4, 2), ("b", 5, 2)] + [("c", i, 1) for i in range(5)] + [("d", 0, 2), ("d", 1, 2)], key=repr)
+    path = f"file://{tmp_path}/state.json"
+    assert topology.load_state(spark, path) == (0, "", -1)
+    topology.save_state(spark, path, 7, "n1", 12)
+    topology.save_state(spark, path, 8, "", 13)
+    assert topology.load_state(spark, path) == (8, "", 13)
+    (tmp_path / "broken").write_text("{")
+    assert topology.load_state(spark, f"file://{tmp_path}/broken") == (0, "", -1)
+
+
+def test_dump_and_restore_commands(spark):
+    engine = Engine(spark, now_ms=1000)
+    for cmd, args in [("SET", {"key": "a", "value": "1"}), ("SET", {"key": "b", "value": "2", "ttl": "5"}), ("SADD", {"key": "s", "value": "m"}), ("BF_RESERVE", {"key": "f", "capacity": "10", "errRate": "0.1"}), ("RATELIMIT_INIT", {"key": "r", "limit": "1", "window_ms": "10"})]:
+        engine.execute(cmd, args).collect()
+    dumped = engine.execute("CLUSTER_DUMPSLOT", {"slots": "1", "slot": "0"}).collect()
+    assert {(r.store, r.key) for r in dumped} == {("strings", "a"), ("strings", "b"), ("sets", "s"), ("skipped", "f"), ("skipped", "r")}
+    other = Engine(spark, now_ms=7000)
+    payload = json.dumps([r.asDict() for r in dumped])
+    assert other.execute("CLUSTER_RESTORE", {"payload": payload}).first()[0] == 2  # b has expired
+    assert other.execute("GET", {"key": "a"}).first()[0] == "1" and other.execute("SCARD", {"key": "s"}).first()[0] == 1
+    for bad in ("{", '[{"store":"sets"}]', ""):
+        with pytest.raises(CommandError):
+            other.execute("CLUSTER_RESTORE", {"payload": bad})
+
+
+def test_checkpoint_drops_read_mail(spark):
+    engine = Engine(spark)
+    own = engine.execute("SUBSCRIBE", {"channel": "c"}).first()[0]
+    for n in range(4):
+        engine.execute("PUBLISH", {"channel": "c", "message": str(n)}).collect()
+    assert [r.payload for r in engine.execute("POLL", {"id": own, "max": "3"}).collect()] == ["0", "1", "2"]
+    engine.checkpoint()
+    assert engine.sent.count() == 1
+    assert [r.payload for r in engine.execute("POLL", {"id": own}).collect()] == ["3"]
