@@ -30,14 +30,15 @@ def positions(item: Column, bits: int, hashes: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def of(items: pd.Series) -> pd.Series:
-        out = []
-        for x in items:
-            if x is None:
-                out.append(None)
-                continue
-            a, b = murmur3_128(x.encode(), SEED)
-            out.append([((a + b * i) & 0xFFFFFFFFFFFFFFFF) % bits for i in range(hashes)])
-        return pd.Series(out, dtype=object)
+        import numpy as np
+
+        there = items.notna().to_numpy()
+        a, b = murmur3_128((x.encode() for x in items[there]), SEED)
+        at = (a[:, None] + b[:, None] * np.arange(hashes, dtype=np.uint64)) % np.uint64(bits)
+        out = np.full(len(items), None, object)
+        for i, own in zip(np.flatnonzero(there), at.astype(np.int64)):
+            out[i] = own
+        return pd.Series(out)
 
     return of(item)
 
@@ -52,7 +53,8 @@ def _words(items: DataFrame, bits: int, hashes: int) -> DataFrame:
 def madd(items: DataFrame, capacity: int = CAPACITY, error_rate: float = ERROR) -> DataFrame:
     """Filters (key, word, bits) that hold ``items`` (key, item); null keys and items are not added."""
     bits, hashes = sizing(capacity, error_rate)
-    return _words(items, bits, hashes).groupBy("key", "word").agg(F.bit_or("mask").alias("bits"))
+    at = items.select("key", "item").dropna().select("key", F.explode(positions(F.col("item"), bits, hashes)).alias("at"))
+    return at.groupBy("key", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _cells(items: DataFrame, width: int, depth: int) -> DataFrame:
     def columns(item: pd.Series) -> pd.Series:
         import numpy as np
 
-        hashes = murmur3_32((x.encode() for x in item), np.arange(depth))
+        hashes = murmur3_32([x.encode() for x in item], np.arange(depth))
         return pd.Series(list((hashes % np.uint32(width)).astype(np.int64)), dtype=object)
 
     return items.select("*", F.posexplode(columns(F.col("item"))).alias("row", "col"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from slotweave.functions.geo import EARTH, UNITS, distance
 
+SALTS = 8
+
 
 def members_within(centres: DataFrame, members: DataFrame, radius: float, unit: str = "m") -> DataFrame:
     """centre, member, distance (in ``unit``) for ``centres`` (centre, lon, lat) and ``members`` (member, lon, lat).
@@ -39,5 +41,8 @@ def members_within(centres: DataFrame, members: DataFrame, radius: float, unit:
     last = F.when(F.col("_reach") >= 180, west + columns - 1).otherwise(F.least(east, west + columns - 1))
     c = c.withColumn("_reach", reach).withColumn("band", F.explode(F.sequence(band(F.col("c_lat") - angle - 1e-6), band(F.col("c_lat") + angle + 1e-6))))
     c = c.withColumn("_column", F.explode(F.sequence(west.cast("int"), last.cast("int")))).withColumn("column", F.pmod("_column", F.lit(columns)).cast("int")).drop("_column")
-    found = c.join(points, ["band", "column"]).withColumn("distance", distance(F.col("c_lon"), F.col("c_lat"), F.col("m_lon"), F.col("m_lat"), unit))
+    # the members of a dense cell are spread over several tasks
+    points = points.withColumn("_salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+    c = c.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = c.join(points, ["band", "column", "_salt"]).withColumn("distance", distance(F.col("c_lon"), F.col("c_lat"), F.col("m_lon"), F.col("m_lat"), unit))
     return found.where(F.col("distance") <= radius).select("centre", "member", "distance")

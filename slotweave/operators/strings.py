@@ -61,20 +61,29 @@ def expire(state: DataFrame, changes: DataFrame, now_ms: int) -> DataFrame:
     return state.join(new, "key", "left").withColumn("expire_at_ms", F.when(F.col("_ttl").isNotNull() & alive, now_ms + F.col("_ttl") * 1000).otherwise(F.col("expire_at_ms"))).drop("_ttl")
 
 
-def increments(log: DataFrame) -> DataFrame:
+def increments(log: DataFrame, block: int = 1 << 16) -> DataFrame:
     """key, idx, value after each INCR: the count since the last DEL, on top of a number that SET wrote before.
 
-    A SET of something that is no integer makes the following INCRs null until the next SET or DEL.
+    A SET of something that is no integer makes the following INCRs null until the next SET or DEL.  Increments are
+    counted within blocks of ``block`` indexes, and the few blocks of a key carry over what the blocks before left.
     """
-    order = Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.where("key IS NOT NULL AND cmd IN ('SET', 'DEL', 'INCR')").withColumn("_segment", F.sum(F.when(F.col("cmd") == "INCR", 0).otherwise(1)).over(order))
-    start = Window.partitionBy("key", "_segment")
-    within = start.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.max(F.when(F.col("cmd") == "SET", F.when(F.col("value").rlike("^[+-]?[0-9]+$"), F.col("value").try_cast("bigint")))).over(start)
-    is_set = F.max(F.when(F.col("cmd") == "SET", 1).otherwise(0)).over(start)
-    count = F.sum(F.when(F.col("cmd") == "INCR", 1).otherwise(0)).over(within)
-    value = F.when(is_set == 1, base + count).otherwise(count)
-    return rows.select("key", "idx", "cmd", value.alias("value")).where("cmd = 'INCR'").drop("cmd")
+    rows = log.where("key IS NOT NULL AND idx IS NOT NULL AND cmd IN ('SET', 'DEL', 'INCR')").withColumn("_block", F.floor(F.col("idx") / block).cast("bigint"))
+    number = F.when(F.col("cmd") == "DEL", F.lit(0).cast("bigint")).when(F.col("value").rlike("^[+-]?[0-9]+$"), F.col("value").try_cast("bigint"))
+    start = F.when(F.col("cmd") != "INCR", F.struct(number.alias("base"), F.col("idx").alias("at")))
+    within = Window.partitionBy("key", "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_start", F.last(start, ignorenulls=True).over(within)).withColumn("_n", F.sum(F.when(F.col("cmd") == "INCR", 1).otherwise(0)).over(within))
+    # increments of the block up to and including its last start
+    rows = rows.withColumn("_before", F.last(F.when(F.col("cmd") != "INCR", F.col("_n")), ignorenulls=True).over(within))
+    ends = rows.groupBy("key", "_block").agg(F.max_by("_start", "idx").alias("_start"), F.max("_n").alias("_all"), F.max_by("_before", "idx").alias("_before"))
+    over = Window.partitionBy("key").orderBy("_block")
+    ends = ends.withColumn("_total", F.sum("_all").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.when(F.col("_start").isNotNull(), F.struct(F.col("_start.base").alias("base"), (F.col("_total") - F.col("_all") + F.col("_before")).alias("upto")))
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("key", "_block", F.last(held, ignorenulls=True).over(earlier).alias("_held"), F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_done"))
+    rows = rows.where("cmd = 'INCR'").join(ends, ["key", "_block"])
+    carried = F.when(F.col("_held").isNull(), F.col("_done")).otherwise(F.col("_held.base") + F.col("_done") - F.col("_held.upto"))
+    value = F.when(F.col("_start").isNull(), carried + F.col("_n")).otherwise(F.col("_start.base") + F.col("_n") - F.col("_before"))
+    return rows.select("key", "idx", value.cast("bigint").alias("value"))
 
 
 def incr(log: DataFrame) -> DataFrame:

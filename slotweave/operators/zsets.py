@@ -108,3 +108,12 @@ def zpop(state: DataFrame, count: int = 1, highest: bool = True) -> tuple[DataFr
     """(the members taken from the end of each key, the rest)."""
     taken = zrange(state, 0, count - 1, rev=highest) if count > 0 else state.withColumn("rank", F.lit(0).cast("bigint")).where(F.lit(False))
     return taken, zrem(state, taken)
+
+
+def member_ranks(state: DataFrame, member: str, rev: bool = False) -> DataFrame:
+    """The rows of one member with its rank in each key: the members before it are counted, nothing is sorted."""
+    own = state.where(F.col("member") == member).select("key", F.col("score").alias("_score"))
+    here, there = F.struct("score", "member"), F.struct(F.col("_score").alias("score"), F.lit(member).alias("member"))
+    before = F.count_if(here > there if rev else here < there).cast("bigint")
+    found = state.join(own, "key").groupBy("key").agg(F.first("_score").alias("score"), before.alias("rank"))
+    return found.select("key", F.lit(member).alias("member"), "score", "rank")

@@ -81,12 +81,6 @@ def _bloom_items(spark, folder):
     return e.select((F.col("event_id") % 8).cast("string").alias("key"), F.concat(F.lit("u"), "user_id").alias("item"))
 
 
-@query("SELECT DISTINCT CAST(event_id % 8 AS VARCHAR) AS key, 'u' || user_id AS item, CAST(1 AS BIGINT) AS present FROM events")
-def bf_exists(spark, folder):
-    items = _bloom_items(spark, folder)
-    return bloom.exists(bloom.madd(items, 10_000, 0.01), items, 10_000, 0.01)
-
-
 @query("SELECT CAST(event_id % 8 AS VARCHAR) AS key, count(DISTINCT event_id * 7 + 100000000) AS asked, true AS some_absent, true AS within_rate FROM events GROUP BY ALL")
 def bf_false_positives(spark, folder):
     """Items that were never added: whether filters filled up to their capacity say so, but for the rate they were made for."""
@@ -103,13 +97,6 @@ def bf_info(spark, folder):
     return bloom.info(_bloom_items(spark, folder), 10_000, 0.01)
 
 
-@query("SELECT 'all' AS key, event_type AS item, count(*) AS estimate FROM events GROUP BY event_type")
-def cms_query(spark, folder):
-    adds = table(spark, folder, "events").select(F.lit("all").alias("key"), F.col("event_type").alias("item"), F.lit(1).cast("bigint").alias("n"))
-    width, depth = cms.dimensions(0.001, 0.01)
-    return cms.query(cms.incrby(adds, width, depth), adds, width, depth)
-
-
 @query("SELECT count(DISTINCT user_id) AS items, CAST(0 AS BIGINT) AS too_low, true AS some_too_high, true AS within_error FROM events")
 def cms_collisions(spark, folder):
     """A narrow sketch: no estimate is too low, some collide, and only a part that the depth allows is off by more than the width says."""

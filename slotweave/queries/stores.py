@@ -395,4 +395,4 @@ def leaderboard_periods(spark, folder):
 @query(_P + "SELECT * FROM r WHERE member = '42'")
 def leaderboard_user(spark, folder):
     scores = _periods(spark, folder).withColumn("score", F.col("score").cast("double"))
-    return zsets.zrevrank(scores).where("member = '42'")
+    return zsets.member_ranks(scores, "42", rev=True)

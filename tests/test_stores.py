@@ -38,7 +38,9 @@ def test_hash_golden():
     import numpy as np
 
     assert hashing.murmur3_32([b"", b"hello"], np.array([0, 1])).tolist() == [[0, 0x514E28B7], [0x248BFA47, 0xBB4ABCAD]]
-    assert hashing.murmur3_128(b"", 0) == (0, 0) and hashing.murmur3_128(b"hello", 0) == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)
+    halves = hashing.murmur3_128([b"hello", b"", b"The quick brown fox jumps over the lazy dog"], 0)
+    assert [x.tolist() for x in halves] == [[0xCBD8A7B341BD9B02, 0, 0xE34BBC7BBC071B6C], [0x5B1E906A48AE1D19, 0, 0x7A433CA9C49A9347]]
+    assert hashing.murmur3_32([b"The quick brown fox jumps over the lazy dog", b"test", b"a" * 9], np.array([0])).tolist()[:2] == [[0x2E4FF723], [0xBA6BD213]]
     assert hashing.fnv1a64(b"") == 0xCBF29CE484222325 and hashing.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
 
 
