@@ -90,3 +90,56 @@ def geohash_bits(text: Column) -> Column:
     letter = lambda i: F.instr(F.lit(_ALPHABET), F.substring(text, i + 1, 1)).cast("bigint") - 1
     bits = _either([F.shiftleft(letter(i), 47 - 5 * i) for i in range(10)])
     return F.when(text.rlike(f"^[{_ALPHABET}]{{10}}"), bits)
+
+
+# ---- cells of fewer steps: the upper 2 * step bits of a score
+
+MERCATOR = 20037726.37  # metres from the meridian of Greenwich to the date line, on the map
+
+
+def cell(score: Column, step: int) -> Column:
+    """The cell of a score at ``step`` halvings of each axis."""
+    return F.shiftright(score, 2 * (STEPS - step))
+
+
+def align(cell_: Column, step: int) -> Column:
+    """The lowest score in a cell."""
+    return F.shiftleft(cell_.cast("bigint"), 2 * (STEPS - step))
+
+
+def score_limits(cell_: Column, step: int) -> tuple[Column, Column]:
+    """The scores of a cell: from the first, to below the second."""
+    return align(cell_, step), align(cell_ + F.lit(1).cast("bigint"), step)
+
+
+def moved(cell_: Column, step: int, east: int = 0, north: int = 0) -> Column:
+    """The cell one to the east or west (1, -1), and to the north or south; the map is a ring in both directions."""
+    mask = (1 << 2 * step) - 1
+    own = {0: _LONGITUDE_BITS >> 1 & mask, 1: _LONGITUDE_BITS & mask}  # the bits of either axis, by the place of its lowest
+
+    def along(x: Column, place: int, by: int) -> Column:
+        bits, rest, unit = own[place], own[1 - place], F.lit(1 << place).cast("bigint")
+        value = x.bitwiseAND(F.lit(bits).cast("bigint"))
+        # a carry must run through the bits of the other axis
+        value = value.bitwiseOR(F.lit(rest).cast("bigint")) + unit if by > 0 else value - unit
+        return value.bitwiseAND(F.lit(bits).cast("bigint")).bitwiseOR(x.bitwiseAND(F.lit(rest).cast("bigint")))
+
+    x = cell_.cast("bigint")
+    x = along(x, 1, east) if east else x
+    return along(x, 0, north) if north else x
+
+
+def neighbours(cell_: Column, step: int) -> Column:
+    """The eight cells around one, from the north clockwise."""
+    return F.array(*(moved(cell_, step, east, north) for east, north in ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))))
+
+
+def steps_for_radius(metres: float) -> int:
+    """How many steps make cells about as large as a circle, so that it lies in a cell and its neighbours; 1 to 26."""
+    if metres <= 0:
+        raise ValueError("radius must be positive")
+    step = 1
+    while metres < MERCATOR and step < STEPS + 2:
+        metres *= 2
+        step += 1
+    return min(max(step - 2, 1), STEPS)

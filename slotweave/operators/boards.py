@@ -18,6 +18,18 @@ def add(log: DataFrame) -> DataFrame:
     return rows.groupBy("key", "member").agg(F.sum("score").alias("score"), F.max_by("data", "idx").alias("data"))
 
 
+def insert(log: DataFrame) -> DataFrame:
+    """The board after a log of inserts (idx, key, member, score, data): the last one replaces those before."""
+    rows = log.where("key IS NOT NULL AND member IS NOT NULL AND score IS NOT NULL")
+    return rows.groupBy("key", "member").agg(F.max_by("score", "idx").alias("score"), F.max_by("data", "idx").alias("data"))
+
+
+def update_score(board: DataFrame, changes: DataFrame) -> DataFrame:
+    """The board with new scores from ``changes`` (idx, key, member, score) for members it has; their data stays."""
+    new = insert(changes.withColumn("data", F.lit(None).cast("string"))).select("key", "member", F.col("score").alias("_new"))
+    return board.join(new, ["key", "member"], "left").withColumn("score", F.coalesce("_new", "score")).select(*board.columns)
+
+
 def delete(board: DataFrame, gone: DataFrame) -> DataFrame:
     return board.join(gone.select("key", "member").dropna().distinct(), ["key", "member"], "left_anti")
 

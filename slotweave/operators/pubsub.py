@@ -11,6 +11,7 @@ from slotweave.functions.glob import glob_regex
 from slotweave.workspace import materialize
 
 MAILBOX = 128
+SALTS = 8
 IDLE_MS = 300_000
 
 
@@ -52,11 +53,14 @@ def matching(channels: DataFrame, patterns: DataFrame) -> DataFrame:
 def fan_out(publishes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """idx, sub_id, kind ('message' or 'pmessage'), channel, pattern, payload: a copy for each subscription that matches."""
     publishes, subscriptions = publishes.select("idx", "channel", "message"), subscriptions.select("sub_id", "kind", "topic")
+    # the publishes of a busy channel are spread over several tasks
+    salted = publishes.withColumn("_salt", F.pmod(F.xxhash64("idx", "message"), F.lit(SALTS)).cast("int"))
+    spread = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     exact = subscriptions.where("kind = 'channel'").select("sub_id", F.col("topic").alias("channel"))
-    direct = publishes.join(exact, "channel").select("idx", "sub_id", F.lit("message").alias("kind"), "channel", F.lit(None).cast("string").alias("pattern"), F.col("message").alias("payload"))
+    direct = salted.join(spread(exact), ["channel", "_salt"]).select("idx", "sub_id", F.lit("message").alias("kind"), "channel", F.lit(None).cast("string").alias("pattern"), F.col("message").alias("payload"))
     patterns = subscriptions.where("kind = 'pattern'")
     pairs = matching(publishes, patterns).join(patterns.select("sub_id", F.col("topic").alias("pattern")), "pattern")
-    matched = publishes.join(pairs, "channel").select("idx", "sub_id", F.lit("pmessage").alias("kind"), "channel", "pattern", F.col("message").alias("payload"))
+    matched = salted.join(spread(pairs), ["channel", "_salt"]).select("idx", "sub_id", F.lit("pmessage").alias("kind"), "channel", "pattern", F.col("message").alias("payload"))
     return direct.unionByName(matched)
 
 

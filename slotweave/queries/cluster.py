@@ -44,6 +44,20 @@ def geo_add(spark, folder):
     return _points(spark, folder, "customer", "c_custkey").select(F.col("id").cast("string").alias("member"), geo.encode(F.col("lon"), F.col("lat")).alias("score"))
 
 
+@query(
+    _GEO
+    + f""", ten AS (SELECT CAST(id AS VARCHAR) AS member, x >> 16 AS a, y >> 16 AS b, ((x >> 16) + 1) % 1024 AS e, ((x >> 16) + 1023) % 1024 AS w, ((y >> 16) + 1) % 1024 AS n FROM bits)
+SELECT member, CAST({_sql_spread("b")} | ({_sql_spread("a")} << 1) AS BIGINT) AS cell, CAST(({_sql_spread("b")} | ({_sql_spread("a")} << 1)) << 32 AS BIGINT) AS low, CAST((({_sql_spread("b")} | ({_sql_spread("a")} << 1)) + 1) << 32 AS BIGINT) AS high,
+  CAST({_sql_spread("b")} | ({_sql_spread("e")} << 1) AS BIGINT) AS east, CAST({_sql_spread("n")} | ({_sql_spread("w")} << 1) AS BIGINT) AS northwest FROM ten"""
+)
+def geo_cells(spark, folder):
+    """The cell of each member at ten steps, its limits and two of its neighbours."""
+    own = geo_add(spark, folder).select("member", geo.cell(F.col("score"), 10).alias("cell"))
+    low, high = geo.score_limits(F.col("cell"), 10)
+    around = geo.neighbours(F.col("cell"), 10)
+    return own.select("member", "cell", low.alias("low"), high.alias("high"), around[2].alias("east"), around[7].alias("northwest"))
+
+
 @query(_GEO + "SELECT CAST(id AS VARCHAR) AS member, round(-180.0 + (x + 0.5) / 67108864.0 * 360.0, 6) AS lon, round(-85.05112878 + (y + 0.5) / 67108864.0 * 170.10225756, 6) AS lat FROM bits")
 def geo_pos(spark, folder):
     lon, lat = geo.decode(F.col("score"))

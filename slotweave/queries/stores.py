@@ -343,6 +343,17 @@ def board_add(spark, folder):
     return boards.add(_blog(spark, folder))
 
 
+@query(_B + "SELECT key, member, arg_max(score, idx) AS score, arg_max(data, idx) AS data FROM log GROUP BY key, member")
+def board_insert(spark, folder):
+    return boards.insert(_blog(spark, folder))
+
+
+@query(_B + ", new AS (SELECT key, member, arg_max(score, idx) AS score FROM log WHERE data = 'F' GROUP BY key, member), old AS (SELECT key, member, arg_max(score, idx) AS score, arg_max(data, idx) AS data FROM log WHERE data <> 'F' GROUP BY key, member) SELECT key, member, coalesce(new.score, old.score) AS score, data FROM old LEFT JOIN new USING (key, member)")
+def board_update_score(spark, folder):
+    log = _blog(spark, folder)
+    return boards.update_score(boards.insert(log.where("data <> 'F'")), log.where("data = 'F'"))
+
+
 @query(_B + "SELECT * FROM board WHERE CAST(member AS BIGINT) % 4 <> 1")
 def board_delete(spark, folder):
     board = boards.add(_blog(spark, folder))

@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "idx BIGINT, term BIGINT, cmd STRING, data BINARY, file STRING"
 LARGEST = 64 << 20
+PART = 64 << 20  # bytes of a file that one task reads
+_MARK = b'{"cmd":'
 
 
 def frame(idx: int, term: int, cmd: str | None, data: bytes | None) -> bytes:
@@ -69,22 +71,68 @@ def truncate(path: str, keep: int) -> None:
         os.fsync(file.fileno())
 
 
-def _files(path: str) -> list[str]:
+def _current(path: str) -> str:
+    """The name of the folder's current generation; '' until it has been overwritten once."""
+    try:
+        with open(os.path.join(path, "CURRENT")) as file:
+            return file.read()
+    except FileNotFoundError:
+        return ""
+
+
+def _files(path: str, generation: str | None = None) -> list[str]:
+    """A file itself, or the files of a folder's current generation; names begin with that of their generation."""
     if os.path.isfile(path):
         return [path]
-    return sorted(os.path.join(path, name) for name in os.listdir(path) if name.endswith(".wal"))
+    generation = _current(path) if generation is None else generation
+    own = lambda name: name.partition("-")[0] == generation if generation else "-" not in name
+    return sorted(os.path.join(path, name) for name in os.listdir(path) if name.endswith(".wal") and own(name))
 
 
 @dataclass
 class _Range(InputPartition):
     path: str
     start: int
-    end: int | None
+    end: int | None  # of the part; None for the whole file
+    exact: bool = True  # the start is that of a frame
+
+
+def frame_from(path: str, start: int) -> int:
+    """The offset of the first frame that begins at ``start`` or behind it; the file's size if there is none.
+
+    A body begins with the key of the command, and that text can't stand within a body, where quotes are escaped.
+    """
+    size, at = os.path.getsize(path), start
+    with open(path, "rb") as file:
+        while at < size:
+            file.seek(at)
+            found = file.read((1 << 20) + len(_MARK) + 3).find(_MARK, 4)
+            if found >= 0:
+                return at + found - 4
+            at += 1 << 20
+    return size
 
 
 def _rows(part: _Range) -> Iterator[tuple]:
-    for idx, term, cmd, data, _ in read_frames(part.path, part.start, part.end):
+    if part.exact:
+        for idx, term, cmd, data, _ in read_frames(part.path, part.start, part.end):
+            yield idx, term, cmd, data, part.path
+        return
+    at = frame_from(part.path, part.start) if part.start else 0
+    for idx, term, cmd, data, behind in read_frames(part.path, at) if at < part.end else ():
         yield idx, term, cmd, data, part.path
+        if behind >= part.end:
+            return
+
+
+def _parts(path: str) -> list[_Range]:
+    """A large file in parts that begin at frames, found by each task for itself; a small one whole."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as file:
+        marked = file.read(4 + len(_MARK))[4:] == _MARK
+    if size <= PART or not marked:
+        return [_Range(path, 0, None)]
+    return [_Range(path, start, min(start + PART, size), exact=False) for start in range(0, size, PART)]
 
 
 class _Reader(DataSourceReader):
@@ -92,7 +140,7 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_Range(file, 0, None) for file in _files(self.path)]
+        return [part for file in _files(self.path) for part in _parts(file)]
 
     def read(self, partition):
         return _rows(partition)
@@ -143,13 +191,26 @@ class _Writer(DataSourceWriter):
         return _Written(staged)
 
     def commit(self, messages):
-        old = _files(self.path) if self.overwrite else []
-        first = 1 + max((int(os.path.basename(f)[:8]) for f in _files(self.path) if os.path.basename(f)[:8].isdigit()), default=-1)
+        """New files of the current generation; an overwrite makes the next one, current by one rename, and then drops the old."""
+        generation, old = _current(self.path), []
+        if self.overwrite:
+            old = _files(self.path)
+            generation = f"{int(generation or 0) + 1:08d}"
+        prefix = f"{generation}-" if generation else ""
+        numbers = [os.path.basename(f).removeprefix(prefix)[:8] for f in _files(self.path, generation)]
+        first = 1 + max((int(n) for n in numbers if n.isdigit()), default=-1)
         for n, message in enumerate(filter(None, messages)):
             if os.path.getsize(message.staged):
-                os.replace(message.staged, os.path.join(self.path, f"{first + n:08d}.wal"))
+                os.replace(message.staged, os.path.join(self.path, f"{prefix}{first + n:08d}.wal"))
             else:
                 os.remove(message.staged)
+        if self.overwrite:
+            staged = os.path.join(self.path, f".{uuid.uuid4().hex}.staged")
+            with open(staged, "w") as file:
+                file.write(generation)
+                file.flush()
+                os.fsync(file.fileno())
+            os.replace(staged, os.path.join(self.path, "CURRENT"))
         for file in old:
             os.remove(file)
 

@@ -305,3 +305,49 @@ def test_change_feed_cases(spark, rows, tmp_path):
 def test_upsert_keeps_the_highest_sequence(spark, rows):
     changes = spark.createDataFrame([("s", "string", "k", "", n % 50, n % 3 > 0, str(n % 50)) for n in range(200)], change_feed.STATE)
     assert [r[4] for r in rows(change_feed.apply_changes(changes, buckets=2))] == [49]
+
+
+def test_reduced_changes_may_be_given_back_in_parts(spark, rows, monkeypatch):
+    """Small buffers and many buckets give the same state as one table."""
+    rng = random.Random(8)
+    changes = [("s", "string", f"k{rng.randint(0, 30)}", "", n, rng.random() < 0.7, "v" * rng.randint(0, 50)) for n in range(3000)]
+    rng.shuffle(changes)
+    want = {}
+    for c in sorted(changes, key=lambda c: c[4]):
+        want[c[2]] = c
+    df = spark.createDataFrame(changes, change_feed.STATE).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for size in (2_000, 24 << 20):
+            monkeypatch.setattr(change_feed, "BUCKET_BYTES", size)
+            assert rows(change_feed.apply_changes(df)) == sorted(want.values(), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lost_terms_broadcast_or_joined(spark, rows, monkeypatch):
+    rng = random.Random(3)
+    log = [(rng.choice("ab"), rng.randint(0, 60), rng.randint(1, 6), b"{}") for _ in range(400)] + [(None, 1, 1, b""), ("a", None, 1, b""), ("a", 1, None, b"")]
+    df = spark.createDataFrame(log, "shard STRING, idx BIGINT, term BIGINT, data BINARY")
+    valid = [e for e in log if None not in e[:3]]
+    want = sorted((e for e in valid if not any(o[0] == e[0] and o[1] <= e[1] and o[2] > e[2] for o in valid)), key=repr)
+    plain = lambda found: sorted(((r.shard, r.idx, r.term, bytes(r.data)) for r in found.collect()), key=repr)
+    assert plain(change_feed.in_force(df)) == want
+    monkeypatch.setattr(change_feed, "BROADCAST_ROWS", 0)
+    assert plain(change_feed.in_force(df)) == want
+
+
+def test_ranks_take_as_many_parts_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 40)
+    df = spark.range(500).select((F.col("id") % 2).alias("key"), (F.col("id") * 7919 % 501).alias("id"))
+    got = neighbours.spread_rank(df, ["key"], [F.col("id")])
+    assert {(r.key, r.id): r["rank"] for r in got.collect()} == {(k, v): n for k in (0, 1) for n, v in enumerate(sorted(i * 7919 % 501 for i in range(k, 500, 2)))}
+    blocks = neighbours.rank_in_blocks(df, "key", F.xxhash64("id"), [F.col("id")]).collect()
+    for key in (0, 1):
+        assert sorted(r["rank"] for r in blocks if r["key"] == key) == list(range(250))
+
+
+def test_repeated_deliveries_of_one_id(spark, rows):
+    s = {"s": {"id": "s", "members": {"a": "x"}}}
+    df = _topology(spark, (1, "c", 1, 2, ["s", ""], s), (1, "c", 1, 2, ["s", ""], s), (2, "c", 2, 2, ["s", "s"], s), (2, "d", 1, 1, ["s"], s), (2, "d", 1, 1, ["s"], s), (2, "d", 1, 1, ["s"], s), (1, "d", 2, 1, [""], s))
+    assert rows(snapshot_changes.topology_changes(df)) == [("c", 1, 2, "slot", "1", "added"), ("d", 1, 2, "slot", "0", "removed")]

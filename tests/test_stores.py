@@ -59,6 +59,20 @@ def test_geo_golden(spark):
         geo.distance(p.lon, p.lat, c.lon, c.lat, "yd")
 
 
+def test_cells_of_fewer_steps(spark):
+    spread = lambda x, y, step: sum((y >> i & 1) << 2 * i | (x >> i & 1) << 2 * i + 1 for i in range(step))
+    for step in (1, 5, 26):
+        n = 1 << step
+        cells_ = [(x % n, y % n) for x, y in [(0, 0), (n - 1, n - 1), (7, 12), (n // 2, n // 2 - 1), (n - 1, 0)]]
+        df = spark.createDataFrame([(i, spread(x, y, step)) for i, (x, y) in enumerate(cells_)], "i INT, c BIGINT")
+        low, high = geo.score_limits(F.col("c"), step)
+        for r in df.select("i", "c", geo.neighbours(F.col("c"), step).alias("n"), low.alias("low"), high.alias("high"), geo.cell(low, step).alias("again")).collect():
+            x, y = cells_[r.i]
+            assert r.n == [spread((x + a) % n, (y + b) % n, step) for a, b in ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))]
+            assert r.low == r.c << 2 * (26 - step) and r.high == r.c + 1 << 2 * (26 - step) and r.again == r.c
+    assert [geo.steps_for_radius(m) for m in (200, 200_000, 1e7, 1.1e7, 2.1e7, 1e-9)] == [16, 6, 1, 1, 1, 26]
+
+
 def _haversine(a, b):
     u, v = (math.sin(math.radians(y - x) / 2) for x, y in ((a[1], b[1]), (a[0], b[0])))
     return 2 * geo.EARTH * math.asin(math.sqrt(min(1.0, u * u + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * v * v)))
@@ -487,3 +501,22 @@ def test_checkpoint_drops_read_mail(spark):
     engine.checkpoint()
     assert engine.sent.count() == 1
     assert [r.payload for r in engine.execute("POLL", {"id": own}).collect()] == ["3"]
+
+
+def test_large_and_overwritten_log_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "PART", 300)
+    path = str(tmp_path / "one.wal")
+    entries = [(n, 1, rng_text, rng_text.encode() * (n % 7)) for n, rng_text in enumerate(['{"cmd":"x"', "SET", 'a"b', "é"] * 25)]
+    with open(path, "wb") as file:
+        file.write(b"".join(wal.frame(*e) for e in entries) + b"\x00\x00\x01")
+    parts = wal._parts(path)
+    assert len(parts) > 5 and [r[:4] for p in parts for r in wal._rows(p)] == entries
+    monkeypatch.undo()
+    spark.dataSource.register(wal.WalSource)
+    folder = str(tmp_path / "logs")
+    frame = lambda *ids: spark.createDataFrame([(i, 1, "c", b"d", "") for i in ids], "idx BIGINT, term BIGINT, cmd STRING, data BINARY, file STRING").coalesce(1)
+    ids = lambda: sorted(r.idx for r in spark.read.format("wal").option("path", folder).load().collect())
+    for mode, own, want in [("append", (1, 2), [1, 2]), ("append", (3,), [1, 2, 3]), ("overwrite", (4,), [4]), ("append", (5,), [4, 5]), ("overwrite", (6, 7), [6, 7])]:
+        frame(*own).write.format("wal").mode(mode).option("path", folder).save()
+        assert ids() == want
+    assert len([n for n in (tmp_path / "logs").iterdir() if n.name.endswith(".wal")]) == 1
