@@ -110,7 +110,8 @@ def topology_changes(deliveries: DataFrame) -> DataFrame:
     # the blocks of a side that are left over, as one row for each of its snapshots
     ids = unequal.join(pairs.select(F.col("own").alias("pair"), "newer"), "pair")
     lists = ids.groupBy(F.when(F.col("sign") > 0, F.col("pair")).otherwise(F.col("newer")).alias("own")).agg(F.collect_list(F.struct("pair", "sign", "start")).alias("blocks"))
-    slots = snapshots.select("own", "owners").join(lists, "own").select("owners", F.inline("blocks"))
+    # never broadcast: a list may grow to a sixteenth of its snapshot
+    slots = snapshots.select("own", "owners").join(lists.hint("shuffle_hash"), "own").select("owners", F.inline("blocks"))
     slots = slots.select("pair", "sign", "start", F.posexplode(F.slice("owners", F.col("start") + 1, BLOCK)).alias("at", "owner")).where("owner <> ''")
     slots = slots.select("pair", "sign", (F.col("start") + F.col("at")).alias("item"), *_digest(F.col("owner")))
     slot_residues = materialize(_left_over(slots, ["pair", "item", "hash1", "hash2"]), "slot-residues")
