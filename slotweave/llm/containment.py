@@ -212,7 +212,7 @@ def _pieces(text: str, size: int = 4 * _CHUNK, overlap: int = SPAN) -> Iterator[
     yield text[start:]
 
 
-def _chunks(batches, span: int) -> Iterator[Chunk | list]:
+def _chunks(batches, span: int) -> Iterator[list[tuple[int, str]]]:
     for batch in batches:
         chunk, size = [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
