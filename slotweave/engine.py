@@ -350,7 +350,7 @@ class Engine:
         radius = _number(args, "radius", float)
         if radius <= 0:
             raise CommandError("radius must be positive")
-        return geosearch.members_within(centre, points, radius).select("member", "distance")
+        return geosearch.members_within(centre, points, radius, few=True).select("member", "distance")
 
 
     # ---- sketches: parameters are kept per key, the bits and cells in one table for all keys

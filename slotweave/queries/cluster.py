@@ -84,7 +84,7 @@ SELECT s.id AS centre, p.id AS member, round({_DIST.format("s.", "p.")}, 3) AS d
 def geo_search(spark, folder):
     centres = _points(spark, folder, "supplier", "s_suppkey").withColumnRenamed("id", "centre")
     found = geosearch.members_within(centres, _points(spark, folder, "customer", "c_custkey").withColumnRenamed("id", "member"), 1_500_000.0)
-    return found.withColumn("distance", F.round("distance", 3))
+    return found.withColumn("distance", F.floor(F.col("distance") * 1000 + 0.5) / 1000)  # rounded without the decimals that F.round makes of each
 
 
 # ---------------------------------------------------------------- sketches

@@ -90,6 +90,30 @@ def test_geosearch_against_brute_force(spark, radius):
         geosearch.members_within(frame(centres, "centre"), frame(members, "member"), 0)
 
 
+def test_geosearch_shuffles_centres(spark):
+    """Centres are few bytes to Spark, whatever the number of their cells; only those that the caller calls few go through the driver."""
+    points = spark.range(500).select("id", (F.col("id") * 7919 % 360 - 180.0).alias("lon"), (F.col("id") * 61 % 170 - 85.0).alias("lat"))
+    centres, members = points.limit(200).withColumnRenamed("id", "centre"), points.withColumnRenamed("id", "member")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = geosearch.members_within(centres, members, 1_500_000)
+    assert "Broadcast" not in plan(found)
+    few = geosearch.members_within(centres, members, 1_500_000, few=True)
+    assert "Broadcast" in plan(few) and sorted(found.collect()) == sorted(few.collect())
+
+
+@pytest.mark.parametrize("unit", ["m", "mi"])
+def test_geosearch_on_the_circle(spark, unit):
+    """A radius that is some member's distance to the last digit, or the next number below it; coordinates that are no numbers match nothing."""
+    rng = random.Random(5)
+    nan = float("nan")
+    members = spark.createDataFrame([*((i, rng.uniform(-180, 180), rng.uniform(-85, 85)) for i in range(40)), (40, 10.0, 20.0), (41, 10.0, 20.000001), (42, 10.000001, 20.0), (43, -170.0, -20.0), (44, nan, 20.0), (45, 10.0, nan)], "member BIGINT, lon DOUBLE, lat DOUBLE")
+    centre = spark.createDataFrame([(0, 10.0, 20.0)], "centre BIGINT, lon DOUBLE, lat DOUBLE")
+    true = {r.member: r.d for r in members.where("member < 44").select("member", geo.distance(F.lit(10.0), F.lit(20.0), F.col("lon"), F.col("lat"), unit).alias("d")).collect()}
+    for radius in [r for m in (0, 1, 41, 42, 43) for r in (true[m], math.nextafter(true[m], 0))]:
+        got = {r.member: r.distance for r in geosearch.members_within(centre, members, radius, unit).collect()}
+        assert got == {m: d for m, d in true.items() if d <= radius}
+
+
 GLOBS = [
     ("abc", "abc", True), ("abc", "abd", False), ("*", "anything", True), ("*", "", True), ("abc*", "abc123", True), ("abc*", "abd123", False), ("*abc", "xxabc", True),
     ("*abc", "xxabd", False), ("news.*.eu", "news.sports.eu", True), ("news.*.eu", "news.sports.us", False), ("a*b*c", "axxbyyc", True), ("a*b*c", "axxcyyb", False),
